@@ -7,14 +7,18 @@ the overlap. Any common order is exact; the one taken keeps passages that many d
 
 1. Tokens that occur in several sets of one block (an input partition) are summed; the most frequent ones, at most
    ``HOT_TOKENS``, are broadcast (8 MB at most) and come last in the order.
-2. Prefix tokens that occur in one set only join nothing and go. Sets left with no token are linked with nothing.
+2. Prefix tokens that occur in one set only join nothing and go; those not known to be frequent are sorted by token once
+   to find that out. Sets left with no token are linked with nothing.
 3. Sets are partitioned into groups by the first token that they share with any other. Each set is compared with its
    group's leader, the set of the group with the fewest tokens before the shared one. Sets that are similar to the
    leader are linked and stay in its group; every other set becomes a group of its own. So each group is connected.
 4. The token-group matrix has the union of the tokens of each group, with the sizes and positions that bound the
    overlap of a query set with any member. Tokens whose groups are all connected already go. A query opens a group only
    if the bound reaches the overlap that similarity t needs; then it is compared with the members of that group.
-5. Components of the links, by contracting labels; labels are joined back to all documents.
+5. Before two sets are compared, their parity maps are (``shingles.parity``): they bound the number of elements that the
+   sets do not share from below. 256 bits of them are part of the join's condition, all bits (1024, or 8192 for large
+   sets) are compared next, so hardly any set is fetched that is not similar to another.
+6. Components of the links, by contracting labels; labels are joined back to all documents.
 
 No step collects a posting list, group or component: lists meet in sort-merge joins that AQE splits when skewed, and
 within a group each member meets the leader only, not each other member.
@@ -26,8 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.bloom import Bloom, bloom_of
-from weftline.llm.common import map_batches, prepare
-from weftline.llm.shingles import Shingler, digest
+from weftline.llm.common import map_arrow, map_batches, prepare
+from weftline.llm.shingles import Shingler, digest, fold, parity
 from weftline.session import materialize
 
 #: At most so many frequent tokens are broadcast. This bounds memory; results do not depend on it.
@@ -91,41 +95,82 @@ def _hot_tokens(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, size: int, t_num: int, hot) -> DataFrame:
-    """A row for each document, with sid (null: no words), n and, at the first of equal sets in a block, its prefix."""
+    """A row for each document, with sid (null: no words) and n. The first of equal sets in a block also has its prefix,
+    of which the first ``rare`` tokens are not among the frequent ones, and its parity map."""
 
     def make():
         shingle, seen, last = Shingler(size), set(), np.frombuffer(hot.value, dtype=np.uint64)
 
         def prefix(tokens):
             length = len(tokens) - needed(t_num, len(tokens)) + 1
-            if len(last):
-                at = np.searchsorted(last, tokens)
-                at[at == len(last)] = 0
-                late = last[at] == tokens
-                rare = tokens[~late]
-                tokens = rare[:length] if len(rare) >= length else np.concatenate([rare, tokens[late]])[:length]
-            else:
-                tokens = tokens[:length]
-            return tokens.view(np.int64)
+            if not len(last):
+                return tokens[:length].view(np.int64), length
+            at = np.searchsorted(last, tokens)
+            at[at == len(last)] = 0
+            late = last[at] == tokens
+            rare = tokens[~late][:length]
+            return np.concatenate([rare, tokens[late][: length - len(rare)]]).view(np.int64), len(rare)
 
         def step(columns):
             if columns is None:
                 return
-            sids, sizes, prefixes = [], [], []
+            out = {"doc_id": columns["doc_id"], "sid": [], "n": [], "rare": [], "prefix": [], "bits": [], "brief": []}
             for text in columns["text"]:
                 tokens = shingle(text)
                 sid = digest(tokens) if len(tokens) else None
                 fresh = sid is not None and sid not in seen
                 if fresh and len(seen) < 1_000_000:
                     seen.add(sid)
-                sids.append(sid)
-                sizes.append(len(tokens))
-                prefixes.append(prefix(tokens) if fresh else None)
-            yield {"doc_id": columns["doc_id"], "sid": sids, "n": sizes, "prefix": prefixes}
+                first, rare = prefix(tokens) if fresh else (None, None)
+                bits = parity(tokens) if fresh else None
+                brief = fold(np.frombuffer(bits, dtype=np.uint8)[None, :], 32)[0].view(np.int64) if fresh else None
+                for name, value in (("sid", sid), ("n", len(tokens)), ("rare", rare), ("prefix", first), ("bits", bits), ("brief", brief)):
+                    out[name].append(value)
+            yield out
+
+        return step
+
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, sid long, n long, rare int, prefix array<long>, bits binary, brief array<long>", make)
+
+
+def _repeated(tokens: DataFrame) -> DataFrame:
+    """Rows (token, sid, at) whose token occurs in several sets; ``tokens`` are none of the frequent ones.
+
+    One shuffle by token, then a pass over the sorted rows that holds one run of equal tokens at a time.
+    """
+
+    def make():
+        held: list[dict | None] = [None]
+
+        def step(columns):
+            if held[0] is not None:
+                columns = held[0] if columns is None else {c: np.concatenate([held[0][c], columns[c]]) for c in columns}
+                last_call = columns is held[0]
+            elif columns is None:
+                return
+            else:
+                last_call = False
+            token, sid = columns["token"], columns["sid"]
+            end = len(token) if last_call else int(np.searchsorted(token, token[-1], side="left"))
+            held[0] = None if last_call else {c: v[end:] for c, v in columns.items()}
+            if not end:
+                return
+            token, sid, at = token[:end], sid[:end], columns["at"][:end]
+            new_token = np.r_[True, token[1:] != token[:-1]]
+            new = new_token | np.r_[True, sid[1:] != sid[:-1]]  # equal sets of different blocks have equal rows
+            token, sid, at, new_token = token[new], sid[new], at[new], new_token[new]
+            starts = np.flatnonzero(new_token)
+            lengths = np.diff(np.r_[starts, len(token)])
+            several = np.repeat(lengths > 1, lengths)
+            if several.any():
+                yield {"token": token[several], "sid": sid[several], "at": at[several]}
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, sid long, n long, prefix array<long>", make)
+    spark = tokens.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens.rdd.getNumPartitions())
+    dealt = tokens.repartition(parts, "token").sortWithinPartitions("token", "sid")
+    return map_arrow(dealt, "token long, sid long, at long", make)
 
 
 def _sets(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
@@ -157,8 +202,37 @@ def _sets(docs: DataFrame, size: int, names: DataFrame) -> DataFrame:
     return found.join(names.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, t_num: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets."""
+def _near(pairs: DataFrame, bits: DataFrame, t_num: int) -> DataFrame:
+    """The pairs (a, b) whose parity maps allow the similarity."""
+    maps = pairs.join(bits.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+
+    def make():
+        def step(columns):
+            if columns is None:
+                return
+            n, m = (np.array(columns[c], dtype=np.int64) for c in "nm")
+            sizes = np.array([min(len(x), len(y)) for x, y in zip(columns["x"], columns["y"])])
+            apart = np.zeros(len(n), dtype=np.int64)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                x, y = (np.concatenate([fold(np.frombuffer(columns[c][i], dtype=np.uint8)[None, :], size) for i in own]) for c in "xy")
+                apart[own] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            overlap = -(-t_num * (n + m) // (100 + t_num))
+            near = np.flatnonzero(apart <= n + m - 2 * overlap)
+            yield {c: [columns[c][i] for i in near] for c in ("a", "b")}
+
+        return step
+
+    return map_batches(maps.select("a", "b", "n", "m", "x", "y"), "a long, b long", make)
+
+
+def _links(pairs: DataFrame, docs: DataFrame, bits: DataFrame, size: int, t_num: int) -> DataFrame:
+    """The pairs (a, b) that are similar, by their whole sets; those sets alone are made again from the texts."""
+    pairs = materialize(_near(pairs, bits, t_num))
+    names = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+    if not names.take(1):
+        return pairs
+    sets = _sets(docs, size, names)
 
     def make():
         def step(columns):
@@ -169,8 +243,9 @@ def _links(pairs: DataFrame, sets: DataFrame, t_num: int) -> DataFrame:
 
         return step
 
+    sets = materialize(sets)
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    return map_batches(both.select("a", "b", "x", "y"), "a long, b long", make)
+    return materialize(map_batches(both.select("a", "b", "x", "y"), "a long, b long", make))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,31 +299,34 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     last = spark.sparkContext.broadcast(np.sort(tokens.astype(np.int64).view(np.uint64)).tobytes())
 
     rows = materialize(_prefixes(docs, size, percent, last))
-    tokens = rows.where("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", F.struct(F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos")).alias("at"))
-    shared = tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-    # equal sets of different blocks have equal rows
-    lists = materialize(tokens.join(shared, "token").groupBy("token", "sid").agg(F.min("at.n").alias("n"), F.min("at.pos").alias("pos")))
+    known = rows.where("bits is not null").dropDuplicates(["sid"])
+    bits = known.select("sid", "n", "bits")
+    brief = known.select("sid", *[F.get("brief", F.lit(i)).alias(f"p{i}") for i in range(4)])
+    tokens = rows.where("prefix is not null").select("sid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "sid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"), (F.col("pos") >= F.col("rare")).alias("frequent"))
+    frequent = tokens.where("frequent").groupBy("token", "sid").agg(F.min("at").alias("at"))
+    lists = _repeated(tokens.where("not frequent").select("token", "sid", "at")).unionByName(frequent)
+    lists = materialize(lists.select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("pos")))
 
     first = lists.groupBy("sid").agg(F.min(F.struct("pos", "token", "n")).alias("f")).select("sid", F.col("f.token").alias("grp"), F.col("f.pos").alias("pos"), F.col("f.n").alias("n"))
-    first = materialize(first)
-    sets = materialize(_sets(docs, size, first.select("sid")))
-    leader = first.groupBy("grp").agg(F.min(F.struct("pos", "sid", "n")).alias("l"), F.count("*").alias("k")).where("k > 1").select("grp", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"))
+    first = materialize(first.join(brief, "sid"))
+    leader = first.groupBy("grp").agg(F.min(F.struct("pos", "sid", "n", *_BRIEF)).alias("l"), F.count("*").alias("k")).where("k > 1").select("grp", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"), *_brief("l."))
     stars = first.join(leader, "grp").where("sid <> b").where(_may("n", "pos", "m", "q", percent)).select(F.col("sid").alias("a"), "b")
-    stars = materialize(_links(stars, sets, percent))
+    stars = _links(stars, docs, bits, size, percent)
     comp = components(stars)
 
     # the token-group matrix: groups are connected sets; a single set is a group
     member = lists.join(comp.withColumnRenamed("comp", "grp"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("grp", "sid").alias("grp"))
     open_ = member.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    member = materialize(member.join(open_, "token"))
+    member = materialize(member.join(open_, "token").join(brief, "sid"))
     matrix = member.groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    query = member.select("token", F.col("sid").alias("a"), "n", "pos", F.col("grp").alias("own"))
+    query = member.select("token", F.col("sid").alias("a"), "n", "pos", F.col("grp").alias("own"), *_BRIEF)
     needs = F.ceil(F.lit(percent) * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * percent / 100.0))) / (100 + percent) - 1e-9)
     bound = F.least(F.col("n") - F.col("pos"), F.col("rest"))
-    opened = query.join(matrix, "token").where(F.col("own") < F.col("grp")).where((bound >= needs) & (F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("least_n") * percent <= F.col("n") * 100)).select("a", "grp", "token", "n", "pos")
-    pairs = opened.join(member.select("token", "grp", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q")), ["token", "grp"]).where(_may("n", "pos", "m", "q", percent))
+    opened = query.join(matrix, "token").where(F.col("own") < F.col("grp")).where((bound >= needs) & (F.col("most_n") * 100 >= F.col("n") * percent) & (F.col("least_n") * percent <= F.col("n") * 100)).select("a", "grp", "token", "n", "pos", *_BRIEF)
+    pairs = opened.join(member.select("token", "grp", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), *_brief()), ["token", "grp"]).where(_may("n", "pos", "m", "q", percent))
     pairs = pairs.select("a", "b").distinct()
-    cross = _links(pairs, sets, percent)
+    cross = _links(pairs, docs, bits, size, percent)
     comp = components(stars.union(cross))
 
     names = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp, "sid", "left").select("sid", "least", F.coalesce("comp", "sid").alias("comp"))
@@ -260,7 +338,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     return with_words.union(without)
 
 
+_BRIEF = [f"p{i}" for i in range(4)]
+
+
+def _brief(of: str = "") -> list:
+    """The brief parity map of the other side of a pair."""
+    return [F.col(f"{of}p{i}").alias(f"q{i}") for i in range(4)]
+
+
 def _may(n: str, pos: str, m: str, q: str, percent: int):
-    """Whether sizes n, m and the positions pos, q of a shared token leave room for the overlap that is needed."""
+    """Whether sizes n, m, the positions pos, q of a shared token and the brief parity maps leave room for the overlap needed."""
     need = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent) - 1e-9)
-    return (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(q)) >= need) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)), F.lit(0))
+    return (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(q)) >= need) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= F.col(n) + F.col(m) - 2 * need)
