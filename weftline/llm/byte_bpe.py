@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from weftline.llm.common import map_batches
 
-_MAX_STATES = 250_000
-_MAX_PIECES = 600_000
+_MAX_STATES = 300_000
+_MAX_PIECES = 800_000
 _MAX_PAIRS = 500_000
 
 
@@ -237,6 +237,17 @@ class Decoder:
             yield b"", rest
 
 
+#: A worker process keeps its coders from task to task: what they have learned serves the next one.
+_CODERS: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
+
+
+def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    if (path, pattern) not in _CODERS:
+        ranks = read_ranks(path)
+        _CODERS[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
+    return _CODERS[path, pattern]
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_chars_decoded for every row of ``docs`` (doc_id, text).
 
@@ -246,8 +257,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def make():
-        ranks = read_ranks(path)
-        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+        encoder, decoder = coders(path, pattern)
         names = [str(i) for i in range(len(decoder.tokens))]
 
         def step(columns):
