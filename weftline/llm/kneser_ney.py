@@ -12,13 +12,14 @@ and D3+ of each order. The tables, bounded as above, are interpolated from order
 
 Scores. A document's perplexity is exp of its mean negative log probability. It is rejected if the log perplexity lies
 above the quantile ``QUANTILE`` of the trusted documents of its language, by more than a margin that shrinks with its
-length (``SLACK`` / sqrt(symbols): a short text's mean is noisy). A language without ``LEAST_DOCUMENTS`` trusted
+length (``SLACK`` / sqrt(symbols): a short text's mean is noisy). Texts below ``LEAST_SYMBOLS`` are kept. A language without ``LEAST_DOCUMENTS`` trusted
 documents takes the quantile over all languages; without any trusted document nothing is rejected.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +30,8 @@ from weftline.session import materialize
 
 ORDER, BITS = 4, 6
 QUANTILE, SLACK, LEAST_DOCUMENTS = 0.99, 4.0, 20
+#: Texts of fewer symbols are not judged.
+LEAST_SYMBOLS = 20
 _BLOCK = 4_000_000
 _PUNCTUATION = {"\n": 30, ".": 31, ",": 32, ";": 33, ":": 33, "!": 34, "?": 35, '"': 36, "'": 36, "-": 37, "(": 38, ")": 38, "[": 38, "]": 38, "{": 38, "}": 38, "@": 39, "/": 40, "\\": 40, "#": 41, "*": 42, "$": 43, "%": 44, "&": 45, "|": 46, "<": 47, ">": 47}
 
@@ -163,12 +166,13 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return step
 
     near = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, text string", make)
-    return near.join(trusted, "doc_id", "left_semi").select("text")
+    # one plan at every size: labels grow with the corpus, so they are never broadcast
+    return near.join(trusted.hint("merge"), "doc_id", "left_semi").select("text")
 
 
 class Scorer:
     def __init__(self, table: bytes):
-        self.symbols, self.table = Symbols(), np.frombuffer(table, dtype=np.float32)
+        self.symbols, self.table = Symbols(), np.frombuffer(zlib.decompress(table), dtype=np.float32)
 
     def __call__(self, text: str | None) -> tuple[int, float]:
         """Number of symbols and log perplexity; a null or empty text has only its border."""
@@ -183,10 +187,10 @@ class Model:
         prepare(docs.sparkSession)
         self.spark = docs.sparkSession
         levels = count_grams(trusted_texts(docs, labels))
-        self.table = self.spark.sparkContext.broadcast(log_probabilities(levels).tobytes())
+        self.table = self.spark.sparkContext.broadcast(zlib.compress(log_probabilities(levels).tobytes(), 1))
         scored = materialize(self.score(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"]))
         trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-        known = scored.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi")
+        known = scored.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
         at = F.percentile_approx("log_perplexity", F.lit(QUANTILE), F.lit(10_000)).alias("limit")
         rows = known.groupBy("lang").agg(at, F.count("*").alias("n")).collect()
         self.limits = {r["lang"]: r["limit"] for r in rows if r["n"] >= LEAST_DOCUMENTS and r["lang"] is not None}
@@ -210,7 +214,7 @@ class Model:
                 found = [scorer(text) for text in columns["_text"]]
                 at = range(len(found))
                 if only:
-                    at = [i for i, (n, x) in enumerate(found) if (most := limits.get(columns["_lang"][i], other)) is None or x <= most + SLACK / n**0.5]
+                    at = [i for i, (n, x) in enumerate(found) if n < LEAST_SYMBOLS or (most := limits.get(columns["_lang"][i], other)) is None or x <= most + SLACK / n**0.5]
                 yield {f"_c{k}": [columns[f"_c{k}"][i] for i in at] for k in range(len(carried))} | {"n_symbols": [found[i][0] for i in at], "log_perplexity": [found[i][1] for i in at]}
 
             return step
@@ -230,7 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for lang, value in sorted(model.limits.items()):
         limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
     most = limit + F.lit(SLACK) / F.sqrt("n_symbols")
-    return model.scored.select("doc_id", "n_symbols", F.exp("log_perplexity").alias("perplexity"), F.exp(most).alias("threshold"), F.coalesce(F.col("log_perplexity") <= most, F.lit(True)).alias("kept"))
+    return model.scored.select("doc_id", "n_symbols", F.exp("log_perplexity").alias("perplexity"), F.exp(most).alias("threshold"), F.coalesce((F.col("n_symbols") < LEAST_SYMBOLS) | (F.col("log_perplexity") <= most), F.lit(True)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
