@@ -6,7 +6,7 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from weftline.llm import jaccard_join, kneser_ney, packing, pii, quality_rules
 from weftline.llm.queries import JSON, PATTERN, PII_KEY
@@ -26,13 +26,20 @@ def model_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document with the least doc_id stays, once.
 
-    Components name their least doc_id, so a document stays if it is its component's name. Only rows that go are
-    looked for, and of rows that share a doc_id one stays.
+    Components name their least doc_id, so a document stays if it is its component's name. Only ids that go are joined
+    to the texts. Of rows that share a doc_id one stays; rows with a null id stay.
     """
     found = jaccard_join.jaccard_components(docs, size=5, percent=80)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not repeated.take(1):
+        return kept
+    # few rows: of each repeated id the one whose text sorts first
+    several = kept.join(repeated, kept["doc_id"] == repeated["doc_id"], "left_semi")
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    one = several.select(F.struct("*").alias("row"), "doc_id", "text").select("row", rank.alias("rank")).where("rank = 1").select("row.*")
+    return kept.join(repeated, kept["doc_id"] == repeated["doc_id"], "left_anti").unionByName(one)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ from weftline.llm.tokens import Vocabulary
 from weftline.session import materialize
 
 #: Pieces in a bucket, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 class Lengths:

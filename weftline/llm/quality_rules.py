@@ -29,6 +29,8 @@ WORD_LIMITS = ((60, 0.6), (400, 0.5))
 MOST_SYMBOLS, MOST_UPPER = 0.01, 0.2
 _SYMBOLS = "#*$%&|<>"
 _KEPT = 200_000
+#: Words in lower case and trimmed, kept by a worker process from task to task.
+_NORMAL: dict[bytes, str] = {}
 _TRIM = ".,;:!?\"'()[]{}#*$%&|<>"
 
 
@@ -75,7 +77,7 @@ class Reader:
 
     def __init__(self, wanted: set[str] | None = None):
         self.wanted = wanted
-        self.normal: dict[bytes, str] = {}
+        self.normal = _NORMAL
         self.table = class_table()
         self.is_symbol = np.zeros(128, dtype=bool)
         self.is_symbol[[ord(c) for c in _SYMBOLS]] = True
@@ -95,7 +97,7 @@ class Reader:
         lines = [line for line in data.split(b"\n") if line.strip()]
         frequent: dict[str, int] = {}
         normal, wanted, known = self.normal, self.wanted, 0
-        if len(normal) > 2 * _KEPT:
+        if len(normal) > _KEPT:
             normal.clear()
         for word, n in zip(numbers, np.bincount(ids, minlength=len(numbers)).tolist()):
             plain_word = normal.get(word)
