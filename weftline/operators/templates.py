@@ -93,7 +93,7 @@ class Filters:
 
     def __init__(self, template: Template, kb: KnowledgeBase):
         self.kb = kb
-        self.graphs = [*template.default_graphs, *template.named_graphs, *dict.fromkeys(g for g, *_ in template.patterns if g and g != "?")]
+        self.graphs = list(dict.fromkeys([*template.default_graphs, *template.named_graphs, *(g for g, *_ in template.patterns if g and g != "?")]))
         wanted = []
         for graph, s, p, o in template.patterns:
             if not graph or not graph.endswith(RECOGNIZED):
