@@ -223,3 +223,17 @@ def test_licenses(spark, docs, clashing, empty, rows):
     assert Counter(map(tuple, licenses.scan(both).collect())) == Counter(con.execute(licenses.scan_sql()).fetchall())
     assert licenses.scan(clashing).count() == len(rows) and licenses.scan(empty).collect() == []
     assert not any("Python" in line or "Arrow" in line for line in licenses.scan(df)._jdf.queryExecution().toString().splitlines())
+
+
+def test_license_sentences_of_several_parts(spark):
+    gpl = lambda *i: ". ".join(licenses.SENTENCES[k] for k in i) + "."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+    table = [
+        (1, "SPDX-License-Identifier: MIT", "MIT"), (2, "// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+        (3, "SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), (4, "SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+        (5, "SPDX-License-Identifier: Zlib", ""), (6, "SPDX-License-Identifier: Zlib\nMIT", ""),
+        (7, gpl(15, 16, 17), "GPL-2.0-or-later"), (8, gpl(14, 16, 17).replace(" the ", "\n * the "), "GPL-3.0-or-later"),
+        (9, gpl(27), "MPL-2.0"), (10, gpl(27).replace("2.0", "1.1"), ""), (11, apache, "Apache-2.0"), (12, gpl(15, 16), ""),
+    ]
+    found = licenses.scan(spark.createDataFrame([r[:2] for r in table], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {i: want for i, _, want in table}

@@ -2,8 +2,11 @@
 
 A text is cut into sentences twice: at stops followed by white space with lines joined (wrapped license texts), and at
 line ends as well (notices on a line of their own). Sentences are normalised (lower case, runs of anything but a-z and
-0-9 become one space) and mapped to the identifiers of known license sentences; unknown sentences have none. The ordered
-identifiers of a text are matched against the rules of each license: its identifiers in that order, one after another.
+0-9 become one space) and mapped to the identifiers of known license sentences; unknown sentences have none. A known
+sentence that itself holds an end is the sequence of all its parts, one right after another. The ordered identifiers of
+a text are matched against the rules of each license: its identifiers in that order, one after another.
+
+``scan_sql`` still knows such a sentence by its first part only, so it differs from ``scan`` on texts with one.
 """
 
 from __future__ import annotations
@@ -90,12 +93,30 @@ def patterns() -> list[tuple[str, str]]:
     return [(name, "," + ",".join(str(same[i]) for i in rule) + ",") for name, rules in sorted(RULES.items()) for rule in rules]
 
 
+def sequences() -> dict[int, list[str]]:
+    """The normal forms of all parts of each known sentence, in order."""
+    return {i: [normal(part) for part in re.split(r"[.:;!?]+\s+", sentence)] for i, sentence in SENTENCES.items()}
+
+
+def rule_patterns() -> list[tuple[str, str]]:
+    """(license, identifiers between commas) of all rules."""
+    return [(name, "," + ",".join(map(str, rule)) + ",") for name, rules in sorted(RULES.items()) for rule in rules]
+
+
 def identifiers(text: Column, ends: str) -> Column:
-    """The identifiers of the text's known sentences, in order, between commas."""
-    known = F.create_map(*[F.lit(x) for pair in split_known().items() for x in pair])
+    """The identifiers of the text's known sentences, in order, between commas.
+
+    Parts are written as <number>, an unknown one as <0>, empty ones not at all; then sentences, those of most parts
+    first, take the place of their parts.
+    """
+    numbers: dict[str, int] = {}
+    marks = {i: "".join(f"<{numbers.setdefault(part, len(numbers) + 1)}>" for part in parts) for i, parts in sequences().items()}
+    known = F.create_map(*[F.lit(x) for part, k in [("", ""), *((p, f"<{k}>") for p, k in numbers.items())] for x in (part, k)])
     cut = F.split(F.lower(text), ends)
-    ids = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.concat(F.lit(","), F.array_join(F.filter(ids, lambda i: i.isNotNull()), ","), F.lit(","))
+    found = F.array_join(F.transform(cut, lambda s: F.coalesce(F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), F.lit("<0>"))), "")
+    for i, mark in sorted(marks.items(), key=lambda x: -x[1].count("<")):
+        found = F.replace(found, F.lit(mark), F.lit(f"[{i}]"))
+    return F.concat(F.lit(","), F.array_join(F.regexp_extract_all(found, F.lit(r"\[([0-9]+)\]"), F.lit(1)), ","), F.lit(","))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -107,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hinted = F.lower("text").rlike(HINT)
     found = docs.select("doc_id", *[F.when(hinted, identifiers(F.col("text"), ends)).otherwise(F.lit(",,")).alias(name) for name, ends in ENDS.items()])
     by_license: dict[str, Column] = {}
-    for name, pattern in patterns():
+    for name, pattern in rule_patterns():
         hit = F.col("wrapped").contains(pattern) | F.col("lines").contains(pattern)
         by_license[name] = by_license[name] | hit if name in by_license else hit
     names = F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, hit in by_license.items()])
