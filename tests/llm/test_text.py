@@ -237,3 +237,57 @@ def test_license_sentences_of_several_parts(spark):
     ]
     found = licenses.scan(spark.createDataFrame([r[:2] for r in table], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["licenses"] for r in found} == {i: want for i, _, want in table}
+
+
+def test_word_model_is_the_recursion(spark):
+    from weftline.llm import word_model
+
+    texts = [(i, prose(i, 40)) for i in range(12)]
+    model = word_model.WordModel(spark.createDataFrame(texts, "doc_id long, text string"))
+    asked = [(i, prose(50 + i, 30) + " Ünseen #1") for i in range(4)] + [(4, ""), (5, "")] + [(6, texts[3][1])] * 2
+    df = spark.createDataFrame(asked, "doc_id long, text string").select(F.col("doc_id").alias("key"), F.expr(word_model.HALF).alias("half"), "text")
+    halves = {r["doc_id"]: r["half"] for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", F.expr(word_model.HALF).alias("half")).collect()}
+    scorer = kneser_ney.Scorer(model.table.value)
+    padded = lambda t: [None, None, *t.split(), None]
+    brute = {}
+    for half in (0, 1):
+        counts = {3: Counter(tuple(w[i : i + 3]) for d, t in texts if halves[d] != half for w in [padded(t)] for i in range(len(w) - 2))}
+        for k in (2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        brute[half] = {k: (kneser_ney.discounts(Counter(c.values())), c) for k, c in counts.items()}
+
+    def p(half, g):
+        if not g:
+            return None
+        low = p(half, g[1:]) if len(g) > 1 else np.exp(scorer.total(g[0] or ""))
+        d, c = brute[half][len(g)]
+        same = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        if not same:
+            return low
+        cut = lambda n: d[min(n, 3) - 1] if n else 0
+        return (c[g] - cut(c[g])) / sum(same.values()) + sum(map(cut, same.values())) / sum(same.values()) * low
+
+    found = {r["key"]: r["total"] for r in model.totals(df).collect()}
+    for r in df.distinct().collect():
+        w = padded(r["text"])
+        if len(w) > 3:
+            assert found[r["key"]] == pytest.approx(sum(np.log(p(r["half"], tuple(w[i : i + 3]))) for i in range(len(w) - 2)), rel=1e-4)
+
+
+def test_classifier_sees_word_order(spark):
+    import random
+
+    r = random.Random(4)
+    follows = {w: r.sample(sorted({*"abcdefghij"}), 2) for w in "abcdefghij"}
+
+    def chain(n):
+        w = [r.choice("abcdefghij")]
+        while len(w) < n:
+            w.append(r.choice(follows[w[-1]]))
+        return " ".join(f"w{x}o{x}" for x in w)
+
+    good = [(i, chain(400), "en", "s", 0) for i in range(60)]
+    mixed = [(100 + i, " ".join(r.sample(good[i][1].split(), 400)), "en", "s", 0) for i in range(5)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"]: x["kept"] for x in kneser_ney.classify(spark.createDataFrame(good + mixed, SCHEMA), labels).collect()}
+    assert sum(kept[i] for i in range(60)) >= 58 and not any(kept[100 + i] for i in range(5))

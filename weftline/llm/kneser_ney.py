@@ -1,19 +1,23 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney models of trusted text.
+
+Words. The model of ``word_model`` counts word n-grams of all trusted text and scores documents by a sharded join. This
+file has the model of characters below it, which gives words their spelling, and the verdicts.
 
 Symbols. Characters are folded to 64 symbols (letters, one symbol for capitals, one for digits, punctuation, classes of
-other letters), so the model sees words of any vocabulary and an n-gram of order 4 has 24 bits. That bounds every table:
-at most 2^24 n-grams, whatever the input.
+other letters), so a spelling n-gram of order 4 has 24 bits: its table has at most 2^24 rows whatever the input, and is
+broadcast (64 MB). It is made of the distinct trusted words.
 
 Counts. Trusted texts are those of documents with the trusted label, all of them. Partial counts are made on each
-partition and summed by n-gram, so their shards lie on all executors. Orders below 4 have continuation counts (the
-number of distinct symbols seen before). Joins of each order's counts with its context sums, sharded by context, give
-the discounted part of each n-gram and the weight of the lower order of each context, with the three discounts D1, D2
-and D3+ of each order. The tables, bounded as above, are interpolated from order 1 up and broadcast (64 MB).
-
-Scores. A document's perplexity is exp of its mean negative log probability. It is rejected if the log perplexity lies
-above the quantile ``QUANTILE`` of the trusted documents of its language, by more than a margin that shrinks with its
-length (``SLACK`` / sqrt(symbols): a short text's mean is noisy). Texts below ``LEAST_SYMBOLS`` are kept. A language without ``LEAST_DOCUMENTS`` trusted
-documents takes the quantile over all languages; without any trusted document nothing is rejected.
+partition and summed by n-gram, so their shards lie on all executors. Orders below the highest have continuation counts
+(the number of distinct symbols or words seen before). Joins of each order's counts with its context sums, sharded by
+context, give the discounted part of each n-gram and the weight of the lower order of each context, with the three
+discounts D1, D2 and D3+ of each order.
+
+Scores. A document's perplexity is exp of its negative log probability for each character. It is rejected if the log
+perplexity lies above the quantile ``QUANTILE`` of the trusted documents of its language, by more than a margin that
+shrinks with its length (``SLACK`` / sqrt(symbols): a short text's mean is noisy). Texts below ``LEAST_SYMBOLS`` are
+kept. A language without ``LEAST_DOCUMENTS`` trusted documents takes the quantile over all languages; without any
+trusted document nothing is rejected.
 """
 
 from __future__ import annotations
@@ -167,60 +171,51 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     near = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, text string", make)
     # one plan at every size: labels grow with the corpus, so they are never broadcast
-    return near.join(trusted.hint("merge"), "doc_id", "left_semi").select("text")
+    return near.join(trusted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
 
 
 class Scorer:
     def __init__(self, table: bytes):
         self.symbols, self.table = Symbols(), np.frombuffer(zlib.decompress(table), dtype=np.float32)
 
-    def __call__(self, text: str | None) -> tuple[int, float]:
-        """Number of symbols and log perplexity; a null or empty text has only its border."""
-        grams = self.symbols.grams(text or "")
-        return len(grams), float(-self.table[grams].mean(dtype=np.float64))
+    def total(self, word: str) -> float:
+        """Log probability of a word's characters and its end."""
+        return float(self.table[self.symbols.grams(word)].sum(dtype=np.float64))
 
 
 class Model:
-    """A broadcast table and the limits by language."""
+    """The word model, the scores of all documents and the limits by language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
+        from weftline.llm import word_model
+
         prepare(docs.sparkSession)
-        self.spark = docs.sparkSession
-        levels = count_grams(trusted_texts(docs, labels))
-        self.table = self.spark.sparkContext.broadcast(zlib.compress(log_probabilities(levels).tobytes(), 1))
-        scored = materialize(self.score(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"]))
+        model = word_model.WordModel(trusted_texts(docs, labels))
+        rows = keyed(docs.select("doc_id", "lang", "text"))
+        totals = model.totals(rows.select(F.col("_key").alias("key"), F.expr(word_model.HALF).alias("half"), "text"))
+        sized = rows.select("doc_id", "lang", "_key", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("n_symbols"))
+        scored = sized.join(totals.hint("merge"), F.col("_key") == F.col("key")).select("doc_id", "lang", "_key", "n_symbols", (-F.col("total") / F.col("n_symbols")).alias("log_perplexity"))
+        scored = self.scored = materialize(scored)
         trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
         known = scored.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
         at = F.percentile_approx("log_perplexity", F.lit(QUANTILE), F.lit(10_000)).alias("limit")
-        rows = known.groupBy("lang").agg(at, F.count("*").alias("n")).collect()
-        self.limits = {r["lang"]: r["limit"] for r in rows if r["n"] >= LEAST_DOCUMENTS and r["lang"] is not None}
+        found = known.groupBy("lang").agg(at, F.count("*").alias("n")).collect()
+        self.limits = {r["lang"]: r["limit"] for r in found if r["n"] >= LEAST_DOCUMENTS and r["lang"] is not None}
         self.other = known.agg(at).head()["limit"]
-        self.scored = scored
-
-    def score(self, docs: DataFrame, carried: list[str], only: bool = False) -> DataFrame:
-        """n_symbols and log_perplexity beside the carried columns, or the carried columns of the kept rows only."""
-        table = self.table
-        limits, other = (self.limits, self.other) if only else ({}, None)
-        kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-        inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)], F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-        schema = ", ".join([*(f"_c{i} {kinds[c]}" for i, c in enumerate(carried)), "n_symbols long, log_perplexity double"])
-
-        def make():
-            scorer = Scorer(table.value)
 
-            def step(columns):
-                if columns is None:
-                    return
-                found = [scorer(text) for text in columns["_text"]]
-                at = range(len(found))
-                if only:
-                    at = [i for i, (n, x) in enumerate(found) if n < LEAST_SYMBOLS or (most := limits.get(columns["_lang"][i], other)) is None or x <= most + SLACK / n**0.5]
-                yield {f"_c{k}": [columns[f"_c{k}"][i] for i in at] for k in range(len(carried))} | {"n_symbols": [found[i][0] for i in at], "log_perplexity": [found[i][1] for i in at]}
+    def judged(self) -> DataFrame:
+        """The scores with the columns most (limit of the log perplexity) and kept."""
+        limit = F.lit(self.other).cast("double")
+        for lang, value in sorted(self.limits.items()):
+            limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
+        most = limit + F.lit(SLACK) / F.sqrt("n_symbols")
+        kept = F.coalesce((F.col("n_symbols") < LEAST_SYMBOLS) | (F.col("log_perplexity") <= most), F.lit(True))
+        return self.scored.select("*", most.alias("most"), kept.alias("kept"))
 
-            return step
 
-        done = map_batches(inner, schema, make)
-        return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)], *([] if only else ["n_symbols", "log_perplexity"]))
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with _key, the same for rows with the same id, language and text only."""
+    return docs.withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("lang", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,14 +224,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels``: doc_id, quality; trusted are the documents with quality 1. A null text is empty. Repeated rows of
     ``docs`` or ``labels`` are as good as one. The threshold is null, and all are kept, if nothing is trusted.
     """
-    model = Model(docs, labels)
-    limit = F.lit(model.other).cast("double")
-    for lang, value in sorted(model.limits.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
-    most = limit + F.lit(SLACK) / F.sqrt("n_symbols")
-    return model.scored.select("doc_id", "n_symbols", F.exp("log_perplexity").alias("perplexity"), F.exp(most).alias("threshold"), F.coalesce((F.col("n_symbols") < LEAST_SYMBOLS) | (F.col("log_perplexity") <= most), F.lit(True)).alias("kept"))
+    judged = Model(docs, labels).judged()
+    return judged.select("doc_id", "n_symbols", F.exp("log_perplexity").alias("perplexity"), F.exp("most").alias("threshold"), "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return Model(docs, labels).score(docs, docs.columns, only=True)
+    gone = Model(docs, labels).judged().where("not kept").select(F.col("_key").alias("_gone_key")).distinct()
+    left = keyed(docs).join(gone.hint("merge"), F.col("_key") == F.col("_gone_key"), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
