@@ -44,7 +44,7 @@ def word_shapes(spark, folder):
 
 def word_ngrams(spark, folder):
     # the array is a column of its own: inside the n-grams' lambda it would be made again for each of them
-    low = ctx(spark, folder).docs.select(F.slice(F.transform(text.words(F.col("text")), F.lower), 1, 200).alias("w"))
+    low = ctx(spark, folder).docs.select(F.transform(text.words(F.col("text")), F.lower).alias("w"))
     grams = low.select(F.explode(text.ngrams(F.col("w"), 3, "g:")).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
 
