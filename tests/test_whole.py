@@ -32,3 +32,12 @@ def test_ngrams_beyond_word_200(spark, folder):
     found = {r["gram"]: r["n"] for r in corpus.word_ngrams(spark, folder(spark, [" ".join(words)])).collect()}
     want = Counter("g:" + ",".join(words[i : i + 3]) for i in range(498))
     assert found == {g: n for g, n in want.items() if n > 1}
+
+
+def test_labels_of_every_sentence(spark, folder):
+    at = folder(spark, [" ".join(f"Some of them saw Berlin and {i} cats." for i in range(30))])
+    lines = [r for r in learning.labelled_corpus(spark, at).collect()]
+    assert sorted(r["sent"] for r in lines) == list(range(30))
+    assert all(f"{r['sent']} CD" in r["text"] for r in lines)
+    words = [r["line"].split()[0] for r in learning.conll_lines(spark, at).orderBy("n").collect() if r["line"]]
+    assert [int(w) for w in words if w.isdigit()] == list(range(30))

@@ -76,8 +76,8 @@ def matrix_lines(spark, folder):
 
 
 def labelled(spark, folder) -> DataFrame:
-    """Words of the documents' first sentences with labels: numbers QUANTITY, capitalised words inside a sentence NAME."""
-    t = Context.of(spark, folder).chunked.where("sent < 20")
+    """Words of the documents with labels: numbers QUANTITY, capitalised words inside a sentence NAME."""
+    t = Context.of(spark, folder).chunked
     from pyspark.sql import Window as W
 
     place = F.row_number().over(W.partitionBy("doc_id", "sent").orderBy("start")) - 1
@@ -161,7 +161,7 @@ def conll_lines(spark, folder) -> DataFrame:
 
     n = F.row_number().over(W.partitionBy("file").orderBy("doc_id", "sent", "i"))
     line = F.concat_ws(" ", "word", "pos", "np", "label")
-    rows = words.where("sent < 3").withColumn("file", F.concat(F.lit("part-"), F.pmod("doc_id", F.lit(8)).cast("string"))).withColumn("line", line)
+    rows = words.withColumn("file", F.concat(F.lit("part-"), F.pmod("doc_id", F.lit(8)).cast("string"))).withColumn("line", line)
     marks = rows.select("file", "doc_id").distinct().select("file", "doc_id", F.lit(-1).alias("sent"), F.lit(0).alias("i"), F.lit("-DOCSTART- -X- O O").alias("line"))
     ends = rows.select("file", "doc_id", "sent").distinct().select("file", "doc_id", "sent", F.lit(1 << 20).alias("i"), F.lit("").alias("line"))
     every = rows.select("file", "doc_id", "sent", "i", "line").unionAll(marks).unionAll(ends)
