@@ -41,3 +41,8 @@ def test_labels_of_every_sentence(spark, folder):
     assert all(f"{r['sent']} CD" in r["text"] for r in lines)
     words = [r["line"].split()[0] for r in learning.conll_lines(spark, at).orderBy("n").collect() if r["line"]]
     assert [int(w) for w in words if w.isdigit()] == list(range(30))
+
+
+def test_every_shipment_is_in_the_matrix(spark):
+    m = learning.shipments(spark, SF)
+    assert m.agg(F.sum("value")).head()[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
