@@ -46,3 +46,12 @@ def test_labels_of_every_sentence(spark, folder):
 def test_every_shipment_is_in_the_matrix(spark):
     m = learning.shipments(spark, SF)
     assert m.agg(F.sum("value")).head()[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_literal_candidates_of_every_prefix(spark):
+    k = knowledge.kb(spark, SF)
+    ids = [r["index"] for r in k.property_ids("brand", "title").collect()]
+    literals = {r["index"]: r["literal"] for r in k.literals.collect()}
+    want = {(r["predicate"], literals[r["object"]]) for r in k.symbols.where(F.col("predicate").isin(ids)).collect()}
+    found = {(r["predicate"], r["literal"]) for r in knowledge.literal_candidates_filtered(spark, SF).collect()}
+    assert found == want
