@@ -55,3 +55,11 @@ def test_literal_candidates_of_every_prefix(spark):
     want = {(r["predicate"], literals[r["object"]]) for r in k.symbols.where(F.col("predicate").isin(ids)).collect()}
     found = {(r["predicate"], r["literal"]) for r in knowledge.literal_candidates_filtered(spark, SF).collect()}
     assert found == want
+
+
+def test_suffixes_of_100_characters(spark, folder):
+    # the same three words, other words behind them, and then the same beyond 100 characters
+    t = "the same words one. " + "the same words two. " + "z " * 80
+    row = corpus.suffix_array(spark, folder(spark, [t])).head()
+    want = [t[m.start() : m.start() + 100] for m in re.finditer("[a-z]+", t)]
+    assert (row["n"], row["distinct"], row["least"]) == (len(want), len(set(want)), min(want))

@@ -51,7 +51,7 @@ def word_ngrams(spark, folder):
 
 def suffix_array(spark, folder):
     c = ctx(spark, folder)
-    return spotting.suffixes(c.docs, 5).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("suffix").alias("distinct"), F.min("suffix").alias("least"))
+    return spotting.suffixes(c.docs, spotting.MAX_SUFFIX).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("suffix").alias("distinct"), F.min("suffix").alias("least"))
 
 
 def token_range(spark, folder):
