@@ -20,11 +20,10 @@ def test_empty(empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 0])
-def test_families(spark, monkeypatch, hot):
-    """Families with many edits, chains of copies of copies, a passage in all, tiny texts; with and without frequent tokens."""
-    monkeypatch.setattr(jaccard_join, "HOT_TOKENS", hot)
-    monkeypatch.setattr(jaccard_join, "HOT_SETS", 3)
+@pytest.mark.parametrize("block", [60_000, 5])
+def test_families(spark, monkeypatch, block):
+    """Families with many edits, chains of copies of copies, a passage in all, tiny texts; with large and with tiny blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     r = random.Random(7)
     passage = prose(99, 30)
     texts = []
@@ -41,10 +40,25 @@ def test_families(spark, monkeypatch, hot):
     rows = list(enumerate(texts))
     r.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(5)
-    for k, t in ((4, 85), (3, 50)) if hot else ((4, 80),):
+    for k, t in ((4, 85), (3, 50)) if block > 5 else ((4, 80),):
         assert Counter(map(tuple, jaccard_join.jaccard_components(docs, k, t).collect())) == brute(rows, k, t)
 
 
+def test_one_in_each_partition(spark):
+    """A passage that stands once in each of many partitions is found, and so are copies that never share a partition."""
+    passage = prose(99, 40)
+    rows = [(i, f"{passage} {prose(500 + i, 6)}" if i % 2 else prose(i // 20, 50)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(60, "doc_id")
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs, 4, 85).collect())) == brute(rows, 4, 85)
+
+
+def test_same_id(spark):
+    """Rows that share a doc_id are documents of their own."""
+    rows = [(1, prose(1, 30)), (1, prose(2, 30)), (2, prose(1, 30)), (3, prose(2, 30)), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs, 4, 85).collect())) == brute(rows, 4, 85)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (104, 103), (7, 7)]
     random.Random(1).shuffle(chain)

@@ -43,9 +43,9 @@ class Shingler:
         return total[fresh]
 
 
-def digest(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of a set of hashes."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(hashes: np.ndarray) -> bytes:
+    """A name of 128 bits of a set of hashes."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 #: Bits of the parity maps of small and of large sets, and the size from which a set is large.
@@ -62,6 +62,13 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def presence(hashes: np.ndarray) -> np.ndarray:
+    """For each of 1024 classes of hashes, whether a set has any of them, as 128 bytes."""
+    some = np.zeros(1024, dtype=np.uint8)
+    some[(hashes & np.uint64(1023)).astype(np.int64)] = 1
+    return np.packbits(some)
+
+
 def fold(maps: np.ndarray, size: int) -> np.ndarray:
     """Maps (one in each row, as bytes) with ``size`` bytes only: classes that fall together add their parities."""
     return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, size), axis=1)
