@@ -39,7 +39,7 @@ from weftline.llm.shingles import Shingler, fold, name_of, parity, presence
 from weftline.session import materialize
 
 #: A block ends with this number of tokens or sets; bounds a worker's memory. Results do not depend on it.
-BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 60_000
+BLOCK_TOKENS, BLOCK_SETS = 500_000, 60_000
 #: Shards of tokens: one for about so many characters of text, between the bounds; a shard is held by one worker.
 SHARD_CHARS, LEAST_SHARDS, MOST_SHARDS = 8_000_000, 256, 1 << 18
 #: Frequencies are kept by the first 48 bits of a token: tokens that fall together get one list, which only adds candidates.
@@ -393,7 +393,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     """
     spark = docs.sparkSession
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     chars = docs.agg(F.sum(F.length("text"))).head()[0] or 0
     shards = LEAST_SHARDS
