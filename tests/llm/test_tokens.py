@@ -49,16 +49,49 @@ def test_transducer_forgets(reference, monkeypatch):
         assert small(text) == reference.encode_ordinary(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60), st.integers(1, 9))
+def test_certain_tokens(encoder, text, step):
+    """Tokens emitted as soon as they are certain are those of the whole piece."""
+    data, transducer = text.encode("utf-8", "ignore") * 3, encoder.transducer
+    parts = list(transducer.stream(data, step))
+    assert [t for part in parts for t in part] == transducer.encode(data)
+    assert b"".join(transducer.merges.tokens[t] for part in parts for t in part) == data
+
+
+def test_looks_ahead_little(encoder):
+    """What is emitted lies only some tokens behind what has been read."""
+    data, transducer, read, done = b"the quick brown fox jumps over the lazy dog " * 40, encoder.transducer, 0, 0
+    for part in transducer.stream(data, 16):
+        read += 16
+        done += sum(transducer.sizes[t] for t in part)
+        assert read - done <= 2 * max(transducer.sizes)
+    assert done == len(data)
+
+
 @given(st.binary(max_size=60), st.lists(st.integers(1, 7), max_size=20))
 def test_utf8_machine(data, cuts):
-    machine, out, at = byte_bpe.Utf8Machine(), "", 0
-    for n in [*cuts, 1000]:
-        out += machine.feed(data[at : at + n])
-        at += n
-    whole = out + machine.finish()
-    assert whole.replace("�", "") == data.decode("utf-8", "replace").replace("�", "")
-    if "�" not in data.decode("utf-8", "replace"):
-        assert whole == data.decode()
+    for broken in ("�".encode(), None):
+        machine, out, at = byte_bpe.Utf8Machine(broken), b"", 0
+        for n in [*cuts, 1000]:
+            out += machine.feed(data[at : at + n])
+            at += n
+        whole = out + machine.finish()
+        assert whole == (data if broken is None else data.decode("utf-8", "replace").encode())
+        assert machine.chars == len(data.decode("utf-8", "replace"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 255), st.integers(0, 50_000)), max_size=60), st.integers(1, 9))
+def test_decoder(ids, chunk):
+    """Any ids, in chunks of any size: characters that lie across tokens and chunks, and bytes that are no UTF-8."""
+    ranks = byte_bpe.read_ranks(RANKS)
+    tokens = {rank: token for token, rank in ranks.items()}
+    ids = [i for i in ids if i in tokens]
+    decoder = byte_bpe.Decoder({tokens[i]: i for i in {*ids, 0}}, chunk)
+    machine, data = byte_bpe.Utf8Machine(), b"".join(tokens[i] for i in ids)
+    assert b"".join(decoder.stream(ids, machine)) == data.decode("utf-8", "replace").encode()
+    assert machine.chars == len(data.decode("utf-8", "replace"))
 
 
 def test_encode_documents(docs, clashing, empty, rows, reference):
