@@ -10,7 +10,8 @@ what follows the first token that they share bounds the overlap.
    token that all documents share sends one entry for each block, whatever its number of sets. The answers meet the
    block's incidence list (which set has which token), which gives every set its prefix, of which tokens of one set
    alone are left out. Sets left without a token are linked with nothing.
-2. Groups. In each token's list all sets are compared with the list's leader, the set with the least name. Sets that are
+2. Groups. In each token's list all sets are compared with the list's leader, the set with the fewest rarer tokens: of
+   copies with edits of their own it is the one with the fewest, next to which most others are similar. Sets that are
    similar to a leader are linked; connected sets are a group, any other set is a group of its own. So copies, near or
    not, fall into one group with as many comparisons as they have tokens in lists, never with each other.
 3. The token-group matrix. Tokens whose sets are all in one group are done with. For the others, each group has the
@@ -404,7 +405,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     # equal sets of several blocks have equal rows
     lists = both.where("token is not null").groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     lists = materialize(lists)
-    leader = lists.groupBy("token").agg(F.min(F.struct("sid", "n", "pos")).alias("l"), F.count("*").alias("k")).where("k > 1").select("token", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"))
+    leader = lists.groupBy("token").agg(F.min(F.struct("pos", "sid", "n")).alias("l"), F.count("*").alias("k")).where("k > 1").select("token", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"))
     lists = materialize(lists.join(_merge(leader), "token"))
     sets = _sets(docs, size, rows, lists.select("sid").distinct())
 
