@@ -342,7 +342,7 @@ def _near(pairs: DataFrame, sets: DataFrame, t_num: int) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, t_num: int) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole sets."""
-    near = materialize(_near(pairs, sets, t_num))
+    near = _near(pairs, sets, t_num)
     both = near.join(_merge(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))), "a").join(_merge(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))), "b")
 
     def make():
@@ -362,26 +362,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round contracts the graph: a node points to its least neighbour or itself, pointers are followed once more,
     and the edges are renamed by them. Rounds end when no edge joins two names; their number grows with the logarithm
-    of the longest path. Edges are aggregated by partial minima first, so a hub's edges never meet in one list.
+    of the longest path. Edges are aggregated by partial minima first, so a hub's edges never meet in one list. A round
+    writes two tables, of pointers and of edges.
     """
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while edges.take(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
-        point = materialize(point)
-        hop = point.join(_merge(point.select(F.col("a").alias("to"), F.col("to").alias("far"))), "to").select("a", F.least("to", "far").alias("to"))
-        hop = materialize(hop)
+        hop = materialize(point.join(_merge(point.select(F.col("a").alias("to"), F.col("to").alias("far"))), "to").select("a", F.least("to", "far").alias("to")))
         if labels is None:
             labels = hop.select(F.col("a").alias("sid"), F.col("to").alias("comp"))
         else:
             labels = labels.join(_merge(hop.withColumnRenamed("a", "comp")), "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp"))
-        labels = materialize(labels)
         renamed = edges.join(_merge(hop.withColumnRenamed("to", "a2")), "a").join(_merge(hop.select(F.col("a").alias("b"), F.col("to").alias("b2"))), "b")
         edges = materialize(renamed.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
     if labels is None:
         return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
-    return labels
+    return materialize(labels)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -415,7 +413,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     # the token-group matrix: groups are connected sets; a single set is a group
     member = lists.select("token", "sid", "n", "pos").join(_merge(comp.withColumnRenamed("comp", "grp")), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("grp", "sid").alias("grp"))
-    member = materialize(member)
     several = member.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     member = member.join(_merge(several), "token").join(_merge(sets.select("sid", *_PARITY, *_PRESENCE)), "sid")
     member = materialize(member)
