@@ -59,7 +59,7 @@ def test_distance():
 def brute_kneser_ney(texts):
     """log P of n-grams by the textbook recursion over dictionaries."""
     symbols = kneser_ney.Symbols()
-    counts = {4: Counter(int(g) for t in texts if t for g in symbols.grams(t))}
+    counts = {4: Counter(int(g) for t in texts if t and t.split() for g in symbols.grams([*t.split(), ""]))}
     for k in (3, 2, 1):
         counts[k] = Counter(g & (1 << 6 * k) - 1 for g in counts[k + 1])
     d = {k: kneser_ney.discounts(Counter(c.values())) for k, c in counts.items()}
@@ -83,7 +83,7 @@ def test_kneser_ney(spark, docs, empty):
     texts = [prose(i, 40) for i in range(6)] + [None, ""]
     table = kneser_ney.log_probabilities(kneser_ney.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")))
     brute = brute_kneser_ney(texts)
-    for g in kneser_ney.Symbols().grams(prose(50, 30) + " Ünseen #1"):
+    for g in kneser_ney.Symbols().grams([*prose(50, 30).split(), "Ünseen", "#1", ""]):
         assert table[g] == pytest.approx(brute(int(g)), rel=1e-4)
     # the probabilities after a context sum to one
     for context in (0, 5, 1 << 6 | 3, 20 << 12 | 8 << 6 | 5):
@@ -239,39 +239,68 @@ def test_license_sentences_of_several_parts(spark):
     assert {r["doc_id"]: r["licenses"] for r in found} == {i: want for i, _, want in table}
 
 
-def test_word_model_is_the_recursion(spark):
+def brute_words(spark, texts, trusted):
+    """log P of each text by the textbook recursion over words and their spelling, under the other half's model."""
     from weftline.llm import word_model
 
-    texts = [(i, prose(i, 40)) for i in range(12)]
-    model = word_model.WordModel(spark.createDataFrame(texts, "doc_id long, text string"))
-    asked = [(i, prose(50 + i, 30) + " Ünseen #1") for i in range(4)] + [(4, ""), (5, "")] + [(6, texts[3][1])] * 2
-    df = spark.createDataFrame(asked, "doc_id long, text string").select(F.col("doc_id").alias("key"), F.expr(word_model.HALF).alias("half"), "text")
     halves = {r["doc_id"]: r["half"] for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", F.expr(word_model.HALF).alias("half")).collect()}
-    scorer = kneser_ney.Scorer(model.table.value)
-    padded = lambda t: [None, None, *t.split(), None]
-    brute = {}
-    for half in (0, 1):
-        counts = {3: Counter(tuple(w[i : i + 3]) for d, t in texts if halves[d] != half for w in [padded(t)] for i in range(len(w) - 2))}
-        for k in (2, 1):
-            counts[k] = Counter(g[1:] for g in counts[k + 1])
-        brute[half] = {k: (kneser_ney.discounts(Counter(c.values())), c) for k, c in counts.items()}
-
-    def p(half, g):
-        if not g:
-            return None
-        low = p(half, g[1:]) if len(g) > 1 else np.exp(scorer.total(g[0] or ""))
-        d, c = brute[half][len(g)]
-        same = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
-        if not same:
-            return low
-        cut = lambda n: d[min(n, 3) - 1] if n else 0
-        return (c[g] - cut(c[g])) / sum(same.values()) + sum(map(cut, same.values())) / sum(same.values()) * low
-
-    found = {r["key"]: r["total"] for r in model.totals(df).collect()}
-    for r in df.distinct().collect():
-        w = padded(r["text"])
-        if len(w) > 3:
-            assert found[r["key"]] == pytest.approx(sum(np.log(p(r["half"], tuple(w[i : i + 3]))) for i in range(len(w) - 2)), rel=1e-4)
+    symbols, spell = kneser_ney.Symbols(), brute_kneser_ney([t for d, t in texts if d in trusted])
+    pairs = lambda t: list(zip([None, *t.split()], [*t.split(), None])) if t.split() else []
+    found = []
+    for d, text in texts:
+        counts = Counter(g for e, t in texts if e in trusted and halves[e] != halves[d] for g in pairs(t or ""))
+        cuts = kneser_ney.discounts(Counter(counts.values()))
+        total = 0.0
+        for v, w in pairs(text or ""):
+            p = np.exp(sum(max(spell(int(g)), -24 * np.log(2)) for g in symbols.grams([w or ""])))
+            same = {x: n for x, n in counts.items() if x[0] == v}
+            if same:
+                cut = lambda n: cuts[min(n, 3) - 1] if n else 0
+                n = counts[v, w]
+                p = (n - cut(n)) / sum(same.values()) + sum(map(cut, same.values())) / sum(same.values()) * p
+            total += np.log(p)
+        found.append(total)
+    return found
+
+
+@pytest.mark.parametrize("block", [60_000, 2])
+def test_word_model_is_the_recursion(spark, monkeypatch, block):
+    """Perplexity of each document, the limits by language and the verdicts, against brute force over dictionaries; with
+    many small blocks too. Null, empty and repeated rows, a null id and a language with two trusted documents are among them."""
+    from weftline.llm import word_model
+
+    monkeypatch.setattr(word_model, "BLOCK_DOCS", block)
+    texts = [(i, prose(i, 30 + i)) for i in range(24)] + [(50, "quite other words here"), (51, "the the the the"), (52, None), (53, ""), (None, "no id at all"), (54, prose(3, 40)), (54, prose(3, 40))]
+    trusted = set(range(16))
+    lang = lambda d: "de" if d in (3, 4, 54) else None if d == 5 else "en"
+    docs = spark.createDataFrame([(d, t, lang(d), "s", 0) for d, t in texts], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(20, 0, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    total = brute_words(spark, texts, trusted)
+    size = [len(t or "") + 1 for _, t in texts]
+    score = [-x / n for x, n in zip(total, size)]
+    quantile = lambda x: sorted(x)[int(np.ceil(0.99 * len(x))) - 1]
+    every = quantile([x for (d, _), x in zip(texts, score) if d in trusted])
+    limits = {k: (len(own) * quantile(own) + 20 * every) / (len(own) + 20) for k in ("en", "de") if (own := [x for (d, _), x in zip(texts, score) if d in trusted and lang(d) == k])}
+    most = [limits.get(lang(d), every) + 4 / np.sqrt(n) for (d, _), n in zip(texts, size)]
+    want = sorted(zip([d if d is not None else -1 for d, _ in texts], size, np.exp(score), np.exp(most), [x <= y for x, y in zip(score, most)]))
+    found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, *tuple(r)[1:]) for r in kneser_ney.classify(docs, labels).collect())
+    assert len(found) == len(want)
+    for x, y in zip(found, want):
+        assert x[:2] == y[:2] and x[4] == y[4]
+        assert x[2:4] == pytest.approx(y[2:4], rel=2e-3)
+
+
+def test_flags(spark, monkeypatch):
+    """Ids that only the Bloom filter lets pass are not trusted, whether they go as a set or by a join."""
+    from weftline.llm import bloom, word_model
+
+    monkeypatch.setattr(bloom, "BLOOM_BITS", 1 << 12)
+    docs = spark.range(3000).selectExpr("nullif(id, 7) as doc_id", "'x' as text")
+    labels = spark.range(0, 3000, 3).selectExpr("id as doc_id", "cast(1 + id % 2 as int) as quality")
+    for few in (100_000, 0):
+        monkeypatch.setattr(word_model, "FEW_IDS", few)
+        found = word_model.flagged(docs, labels).collect()
+        assert len(found) == 3000 and {r["doc_id"] for r in found if r["trusted"]} == set(range(0, 3000, 6))
 
 
 def test_classifier_sees_word_order(spark):

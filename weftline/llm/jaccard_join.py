@@ -212,7 +212,8 @@ def _frequencies(blocks: DataFrame, shards: int) -> DataFrame:
 
     spark = blocks.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 256)
-    dealt = blocks.repartition(parts, F.when(F.col("shard") < 0, F.col("block")).otherwise(F.col("shard"))).sortWithinPartitions("shard")
+    place = F.when(F.col("shard") < 0, F.col("block")).otherwise(F.col("shard"))
+    dealt = blocks.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions("shard")
     return map_batches(dealt, "shard int, block long, first long, keys binary, x binary, y binary", make)
 
 

@@ -1,23 +1,18 @@
 """Quality classifier: perplexity under interpolated modified Kneser-Ney models of trusted text.
 
-Words. The model of ``word_model`` counts word n-grams of all trusted text and scores documents by a sharded join. This
-file has the model of characters below it, which gives words their spelling, and the verdicts.
+Words. The model of ``word_model`` counts word bigrams of all trusted text and scores documents by sharded count joins.
+This file has the model of characters below it, which gives words their spelling, and the verdicts.
 
-Symbols. Characters are folded to 64 symbols (letters, one symbol for capitals, one for digits, punctuation, classes of
+Spelling. Characters are folded to 64 symbols (letters, one symbol for capitals, one for digits, punctuation, classes of
 other letters), so a spelling n-gram of order 4 has 24 bits: its table has at most 2^24 rows whatever the input, and is
-broadcast (64 MB). It is made of the distinct trusted words.
-
-Counts. Trusted texts are those of documents with the trusted label, all of them. Partial counts are made on each
-partition and summed by n-gram, so their shards lie on all executors. Orders below the highest have continuation counts
-(the number of distinct symbols or words seen before). Joins of each order's counts with its context sums, sharded by
-context, give the discounted part of each n-gram and the weight of the lower order of each context, with the three
-discounts D1, D2 and D3+ of each order.
+broadcast (64 MB). It is made of the words of all trusted text; each word begins and ends at a border. Orders below the
+highest have continuation counts (the number of distinct symbols seen before), each order has its discounts D1, D2, D3+.
 
 Scores. A document's perplexity is exp of its negative log probability for each character. It is rejected if the log
-perplexity lies above the quantile ``QUANTILE`` of the trusted documents of its language, by more than a margin that
-shrinks with its length (``SLACK`` / sqrt(symbols): a short text's mean is noisy). Texts below ``LEAST_SYMBOLS`` are
-kept. A language without ``LEAST_DOCUMENTS`` trusted documents takes the quantile over all languages; without any
-trusted document nothing is rejected.
+perplexity lies above the limit of its language by more than a margin that shrinks with its length (``SLACK`` /
+sqrt(symbols): a short text's mean is noisy). The limit of a language is the quantile ``QUANTILE`` of its n trusted
+documents, drawn to that of all trusted documents: (n own + PRIOR all) / (n + PRIOR). Without any trusted document
+nothing is rejected.
 """
 
 from __future__ import annotations
@@ -28,14 +23,12 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.bloom import Bloom, bloom_of
 from weftline.llm.common import map_batches, prepare
 from weftline.session import materialize
 
 ORDER, BITS = 4, 6
-QUANTILE, SLACK, LEAST_DOCUMENTS = 0.99, 4.0, 20
-#: Texts of fewer symbols are not judged.
-LEAST_SYMBOLS = 20
+QUANTILE, SLACK, PRIOR = 0.99, 4.0, 20
+_SLICES = 64
 _BLOCK = 4_000_000
 _PUNCTUATION = {"\n": 30, ".": 31, ",": 32, ";": 33, ":": 33, "!": 34, "?": 35, '"': 36, "'": 36, "-": 37, "(": 38, ")": 38, "[": 38, "]": 38, "{": 38, "}": 38, "@": 39, "/": 40, "\\": 40, "#": 41, "*": 42, "$": 43, "%": 44, "&": 45, "|": 46, "<": 47, ">": 47}
 
@@ -68,22 +61,32 @@ def symbol_table() -> np.ndarray:
 class Symbols:
     def __init__(self):
         self.table = symbol_table()
-
-    def grams(self, text: str) -> np.ndarray:
-        """The n-grams of order 4 that end at each character and at the text's end."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        padded = np.zeros(len(codes) + ORDER, dtype=np.uint32)
-        padded[ORDER - 1 : -1] = self.table[np.minimum(codes, 0xFFFF)]
-        count = len(codes) + 1
-        grams = padded[:count].copy()
+        self.table[ord("\n")] = 0  # no word has it
+
+    def grams(self, words: list[str]) -> np.ndarray:
+        """The n-grams of order 4 that end at each character and at the end of each word, word after word."""
+        if not words:
+            return np.zeros(0, dtype=np.uint32)
+        gap = "\n" * (ORDER - 1)
+        codes = np.frombuffer((gap + gap.join(words) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbols = self.table[np.minimum(codes, 0xFFFF)]
+        count = len(codes) - ORDER + 1
+        grams = symbols[:count].copy()
         for i in range(1, ORDER):
             grams <<= np.uint32(BITS)
-            grams |= padded[i : count + i]
-        return grams
+            grams |= symbols[i : count + i]
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        begin = np.cumsum(lengths + ORDER - 2) - (lengths + ORDER - 2)
+        return grams[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
 
+def count_grams(texts: DataFrame) -> np.ndarray:
+    """Counts of all 2^24 n-grams of the words, and of the ends, of all rows of ``texts``.
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """order, gram, n: counts of order 4 and continuation counts of the orders below, over all rows of ``texts``."""
+    Each partition's counts go in slices of the range to the worker that adds that slice up; the sums, of bounded size,
+    come to the driver.
+    """
+    width = (1 << BITS * ORDER) // _SLICES
 
     def make():
         symbols, held, size = Symbols(), [], [0]
@@ -93,28 +96,48 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 grams, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
                 size[0] = 0
-                yield {"gram": grams.astype(np.int32), "n": n.astype(np.int64)}
+                ends = np.searchsorted(grams, np.arange(_SLICES + 1) * width)
+                rows = [(i, zlib.compress(np.array([grams[a:b], n[a:b]], dtype=np.int64).tobytes(), 1)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+                yield {"slice": [r[0] for r in rows], "counts": [r[1] for r in rows]}
 
         def step(columns):
             if columns is None:
                 yield from flush()
                 return
-            for text in columns["text"]:
-                if text:
-                    held.append(symbols.grams(text))
-                    size[0] += len(text)
-                    if size[0] > _BLOCK:
-                        yield from flush()
+            words = [w for text in columns["text"] if text and (split := text.split()) for w in (*split, "")]
+            held.append(symbols.grams(words))
+            size[0] += len(held[-1])
+            if size[0] > _BLOCK:
+                yield from flush()
 
         return step
 
-    level = map_batches(texts.select("text"), "gram int, n long", make).groupBy("gram").agg(F.sum("n").alias("n"))
-    level = materialize(level)
-    levels = level.select(F.lit(ORDER).alias("order"), "gram", "n")
-    for order in range(ORDER - 1, 0, -1):
-        level = level.groupBy((F.col("gram").bitwiseAND((1 << BITS * order) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-        levels = levels.union(level.select(F.lit(order).alias("order"), "gram", "n"))
-    return materialize(levels)
+    def join():
+        held: dict = {"slice": None, "sum": None}
+
+        def finish():
+            if held["sum"] is not None:
+                yield {"slice": [held["slice"]], "counts": [zlib.compress(held["sum"].tobytes(), 1)]}
+
+        def step(columns):
+            if columns is None:
+                yield from finish()
+                return
+            for k, x in zip(columns["slice"], columns["counts"]):
+                if k != held["slice"]:
+                    yield from finish()
+                    held.update(slice=k, sum=np.zeros(width, dtype=np.int64))
+                grams, n = np.frombuffer(zlib.decompress(x), dtype=np.int64).reshape(2, -1)
+                held["sum"][grams - k * width] += n
+
+        return step
+
+    parts = map_batches(texts.select("text"), "slice int, counts binary", make)
+    whole = map_batches(parts.repartition(_SLICES, "slice").sortWithinPartitions("slice"), "slice int, counts binary", join)
+    counts = np.zeros(1 << BITS * ORDER, dtype=np.int64)
+    for row in whole.toLocalIterator():
+        counts[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+    return counts
 
 
 def discounts(of_count: dict[int, int]) -> list[float]:
@@ -127,81 +150,64 @@ def discounts(of_count: dict[int, int]) -> list[float]:
     return [min(max(d, 0.0), k) for d, k in zip(found, (1, 2, 3))]
 
 
-def log_probabilities(levels: DataFrame) -> np.ndarray:
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
     """log P of each of the 2^24 n-grams of order 4 (natural logarithm, float32)."""
-    few = levels.where("n <= 4").groupBy("order", "n").agg(F.count("*").alias("k")).collect()
-    by_order = {order: discounts({r["n"]: r["k"] for r in few if r["order"] == order}) for order in range(1, ORDER + 1)}
-    d = F.lit(0.0)
-    for order, (one, two, more) in by_order.items():
-        d = F.when(F.col("order") == order, F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)).otherwise(d)
-    own = levels.withColumn("context", F.shiftright("gram", BITS)).withColumn("d", d)
-    sums = own.groupBy("order", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-    parts = own.join(sums, ["order", "context"]).select("order", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"))
-    weights = sums.select("order", "context", (F.col("freed") / F.col("total")).alias("p"))
-    below = np.full(1, 1 / (1 << BITS))  # order 0: all symbols alike
+    levels = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):
+        levels[order] = (levels[order + 1] > 0).reshape(1 << BITS, -1).sum(axis=0)
+    below = np.full(1 << BITS, 1 / (1 << BITS), dtype=np.float32)  # order 0: all symbols alike
     for order in range(1, ORDER + 1):
-        rows = parts.where(F.col("order") == order).select("gram", "p").toArrow()  # at most 2^(6 order) rows
-        weight = weights.where(F.col("order") == order).select("context", "p").toArrow()
-        size = 1 << BITS * (order - 1)
-        lower = np.ones(size, dtype=np.float32)
-        lower[weight.column("context").to_numpy()] = weight.column("p").to_numpy()
-        # P(w | h) = part + weight(h) * P(w | shorter h); the shorter n-gram is the lower bits
-        table = np.repeat(lower, 1 << BITS)
-        table *= np.tile(below.astype(np.float32), len(table) // len(below))
-        table[rows.column("gram").to_numpy()] += rows.column("p").to_numpy().astype(np.float32)
-        below = table
-    return np.log(below, out=below)
-
-
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id has the trusted label; only texts that pass a Bloom filter of those are shuffled."""
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    bloom = bloom_of(trusted, "doc_id")
-
-    def make():
-        wanted = Bloom(np.frombuffer(bloom.value, dtype=np.uint8))
-
-        def step(columns):
-            if columns is not None:
-                ids = [-1 if d is None else d for d in columns["doc_id"]]
-                keep = np.flatnonzero(wanted.has(np.array(ids, dtype=np.int64).view(np.uint64)))
-                yield {c: [v[i] for i in keep] for c, v in columns.items()}
-
-        return step
-
-    near = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, text string", make)
-    # one plan at every size: labels grow with the corpus, so they are never broadcast
-    return near.join(trusted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+        # rows are contexts; a context without its first symbol is the row of the order below
+        n = levels.pop(order).reshape(-1, 1 << BITS)
+        lower = below.reshape(-1, 1 << BITS)
+        parts = [slice(a, a + len(lower)) for a in range(0, len(n), len(lower))]
+        of_count = sum(np.bincount(np.minimum(n[x], 5).ravel(), minlength=6) for x in parts)
+        d = np.array([0.0, *discounts({i: int(k) for i, k in enumerate(of_count)})])
+        below = np.empty(n.size, dtype=np.float32).reshape(n.shape)
+        for x in parts:
+            cut, total = d[np.minimum(n[x], 3)], n[x].sum(axis=1, keepdims=True)
+            weight = np.where(total > 0, cut.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
+            # P(w | h) = (n - d) / total + weight(h) * P(w | shorter h)
+            below[x] = (n[x] - cut) / np.maximum(total, 1) + weight * lower
+        below = below.ravel()
+    # with little text a discount, and so a probability, can be 0
+    return np.log(np.maximum(below, np.float32(2.0 ** (-BITS * ORDER))))
+
+
+def spelling(texts: DataFrame) -> np.ndarray:
+    return log_probabilities(count_grams(texts))
 
 
 class Scorer:
     def __init__(self, table: bytes):
         self.symbols, self.table = Symbols(), np.frombuffer(zlib.decompress(table), dtype=np.float32)
 
-    def total(self, word: str) -> float:
-        """Log probability of a word's characters and its end."""
-        return float(self.table[self.symbols.grams(word)].sum(dtype=np.float64))
+    def words(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each list of words the log probabilities of their characters and ends, and of the end of the text; of an
+        empty list none."""
+        flat = [w for words in texts if words for w in (*words, "")]
+        low = np.zeros(0)
+        if flat:
+            lengths = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) + 1
+            low = np.add.reduceat(self.table[self.symbols.grams(flat)].astype(np.float64), np.cumsum(lengths) - lengths)
+        return np.split(low, np.cumsum([len(words) + bool(words) for words in texts])[:-1])
 
 
 class Model:
-    """The word model, the scores of all documents and the limits by language."""
+    """The scores of all documents and the limits by language."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         from weftline.llm import word_model
 
         prepare(docs.sparkSession)
-        model = word_model.WordModel(trusted_texts(docs, labels))
-        rows = keyed(docs.select("doc_id", "lang", "text"))
-        totals = model.totals(rows.select(F.col("_key").alias("key"), F.expr(word_model.HALF).alias("half"), "text"))
-        sized = rows.select("doc_id", "lang", "_key", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("n_symbols"))
-        scored = sized.join(totals.hint("merge"), F.col("_key") == F.col("key")).select("doc_id", "lang", "_key", "n_symbols", (-F.col("total") / F.col("n_symbols")).alias("log_perplexity"))
+        rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"))
+        scored = word_model.scores(rows, labels).select("doc_id", "lang", "_key", "trusted", "n_symbols", (-F.col("total") / F.col("n_symbols")).alias("log_perplexity"))
         scored = self.scored = materialize(scored)
-        trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-        known = scored.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
         at = F.percentile_approx("log_perplexity", F.lit(QUANTILE), F.lit(10_000)).alias("limit")
-        found = known.groupBy("lang").agg(at, F.count("*").alias("n")).collect()
-        self.limits = {r["lang"]: r["limit"] for r in found if r["n"] >= LEAST_DOCUMENTS and r["lang"] is not None}
+        known = scored.where("trusted")
         self.other = known.agg(at).head()["limit"]
+        found = known.where("lang is not null").groupBy("lang").agg(at, F.count("*").alias("n")).collect()
+        self.limits = {r["lang"]: (r["n"] * r["limit"] + PRIOR * self.other) / (r["n"] + PRIOR) for r in found}
 
     def judged(self) -> DataFrame:
         """The scores with the columns most (limit of the log perplexity) and kept."""
@@ -209,8 +215,7 @@ class Model:
         for lang, value in sorted(self.limits.items()):
             limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
         most = limit + F.lit(SLACK) / F.sqrt("n_symbols")
-        kept = F.coalesce((F.col("n_symbols") < LEAST_SYMBOLS) | (F.col("log_perplexity") <= most), F.lit(True))
-        return self.scored.select("*", most.alias("most"), kept.alias("kept"))
+        return self.scored.select("*", most.alias("most"), F.coalesce(F.col("log_perplexity") <= most, F.lit(True)).alias("kept"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -221,8 +226,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_symbols, perplexity, threshold and kept for every row of ``docs`` (doc_id, text, lang).
 
-    ``labels``: doc_id, quality; trusted are the documents with quality 1. A null text is empty. Repeated rows of
-    ``docs`` or ``labels`` are as good as one. The threshold is null, and all are kept, if nothing is trusted.
+    ``labels``: doc_id, quality; trusted are the documents with quality 1. A null text is empty; a text without words has
+    perplexity 1. Repeated rows are judged alike, each trusted one counts; repeated rows of ``labels`` are as good as one. The threshold is null, and all are kept, if nothing is trusted.
     """
     judged = Model(docs, labels).judged()
     return judged.select("doc_id", "n_symbols", F.exp("log_perplexity").alias("perplexity"), F.exp("most").alias("threshold"), "kept")

@@ -1,276 +1,355 @@
-"""Interpolated modified Kneser-Ney model of word n-grams, scored by a sharded join.
+"""Interpolated modified Kneser-Ney model of word bigrams over a spelling model, scored by sharded count joins.
 
-Words are what lies between white space, by 64-bit hashes of their bytes, not folded. Counts are of order 3, with
-continuation counts below, and grow with the trusted text. Below order 1 stands the spelling of a word: the bounded
-model of characters in ``kneser_ney``, made of the distinct trusted words, so every word has a probability.
+Words are what lies between white space, by 64-bit hashes of their bytes, not folded; a border stands before the first
+and after the last. Below the bigrams stands the spelling of a word (the bounded model of characters in ``kneser_ney``),
+so every word has a probability. Counts of bigrams are of all trusted text and grow with it.
 
 Two halves. Trusted documents are counted in one of two models, by their id; a document is scored by the other half's
 model. So no document is scored by its own words, and limits from trusted documents hold for all.
 
-Scores. With w the weight of the lower order after a context, log P(c | a, b) is the sum of the spelling's log P(c), of
-log w of the contexts (), (b) and (a, b), and of what each n-gram (c), (b, c), (a, b, c) that was counted adds to the
-orders below it. So a text's log probability is a sum of one value for each occurrence of an n-gram: one table from
-n-gram to value, which is never on one machine. Hashes of the documents' n-grams and the table are dealt to the same
-shards by n-gram; each shard adds the values up by document, and the sums of all shards are added.
+Shards. All bigrams of a context lie in one shard. A block of documents sends each of its distinct bigrams there once,
+with the documents that have it and how often, sorted and as differences, so that a bigram costs 2 or 3 bytes; blocks of
+trusted documents add the spelling's probability of the word. A shard adds up the trusted blocks, which gives c(v, w),
+c(v), the discounts D1 to D3+ of the shard and the weight of the spelling after each context. With those,
+
+    log P(w | v) = log P0(w) + log weight(v) + log(1 + (c(v, w) - D) / (c(v) weight(v) P0(w)))
+
+where the last part is 0 for bigrams that were not counted and the middle one for contexts that were not. So the log
+probability of a text is the sum of the spelling's, known in its block, and of one value for each of its bigrams, from
+their shards. A worker adds up the values by document over the shards that it meets, and the sums go back to the block.
+
+Keys of bigrams have 48 bits, 27 of the context and 21 of the word: bigrams that fall together are counted together.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import zlib
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_64_digest
 
 from weftline.llm import kneser_ney
-from weftline.llm.common import map_arrow, map_batches, mix64
+from weftline.llm.bloom import Bloom, bloom_of
+from weftline.llm.common import map_batches
 from weftline.session import materialize
 
-WORDS = 3
-_TABLE_ROWS, _BLOCK_GRAMS, _BLOCK_DOCS, _MEMO = 4_000_000, 1_000_000, 60_000, 300_000
 #: The half whose model scores a document; documents without an id are scored by the first.
 HALF = "cast(pmod(xxhash64(coalesce(doc_id, 0L)), 2) as int)"
+CONTEXT_BITS, WORD_BITS = 27, 21
+#: A block ends with this number of words or documents; a shard holds the bigrams of about so many characters of text.
+BLOCK_WORDS, BLOCK_DOCS, SHARD_CHARS, MOST_SHARDS = 2_000_000, 60_000, 8_000_000, 1 << 16
+#: Sums that a worker keeps until it sends them (4 bytes each).
+KEPT_SUMS = 8_000_000
+#: Ids that pass the Bloom filter without the label: more than that are found by a join in place of a broadcast set.
+FEW_IDS = 100_000
+_BORDER = np.uint64(0x9E3779B97F4A7C15)
+#: Steps of the spelling's log probabilities as they are sent.
+_STEPS = 64
 
 
-def word_id(word: str) -> int:
-    """A hash that is never 0, which is the border of a text."""
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+def word_ids(words: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxh3_64_digest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=">u8").astype(np.uint64)
 
 
-class Words:
-    """Identifiers and, with a table of spellings, their log probabilities; what is kept is bounded."""
+def keys_of(ids: np.ndarray) -> np.ndarray:
+    """Keys of the bigrams of a text with these words; none without words."""
+    if not len(ids):
+        return ids
+    border = np.array([_BORDER])
+    before, word = np.concatenate([border, ids]), np.concatenate([ids, border])
+    return (before >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS) | (word & np.uint64((1 << WORD_BITS) - 1))
 
-    def __init__(self, table: bytes | None = None):
-        self.known: dict[str, tuple[int, float]] = {}
-        self.scorer = kneser_ney.Scorer(table) if table else None
 
-    def look(self, words: list[str]) -> tuple[np.ndarray, float]:
-        if len(self.known) > _MEMO:
-            self.known.clear()
-        known, found = self.known, []
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = word_id(w), self.scorer.total(w) if self.scorer else 0.0
-                if len(w) <= 100:
-                    known[w] = x
-            found.append(x)
-        return np.array([x[0] for x in found], dtype=np.uint64), sum(x[1] for x in found)
+def _pack(x: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
 
-def keys(half: np.ndarray | int, *words: np.ndarray) -> np.ndarray:
-    """64-bit keys of n-grams, given from the last word back."""
-    h = mix64(words[0] ^ mix64(np.asarray(half, dtype=np.uint64) + np.uint64(7 + 16 * len(words))))
-    for w in words[1:]:
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
-    return h
+def _unpack(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
 
+def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (doc_id long and others) with the column trusted: whether a label calls the id good.
 
-def occurrences(ids: np.ndarray, half: int) -> np.ndarray:
-    """Keys of all n-grams of a text with these words, and of the contexts of its first word."""
-    zero = np.zeros(1, dtype=np.uint64)
-    last = np.concatenate([ids, zero])
-    before = np.concatenate([zero, ids])
-    first = np.concatenate([zero, zero, ids])[: len(last)]
-    pair = [keys(half, zero, zero)] if len(ids) else []
-    return np.concatenate([keys(half, last), keys(half, last, before), keys(half, last, before, first), *pair])
+    A Bloom filter of the trusted ids goes to the executors; the few ids that pass it without being trusted go there as a
+    set, or, if they are many, a join finds them. Both give the same.
+    """
+    trusted = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    bloom = bloom_of(trusted, "doc_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    def passes(but: frozenset):
+        def make():
+            wanted = Bloom(np.frombuffer(bloom.value, dtype=np.uint8))
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+            def step(columns):
+                if columns is not None:
+                    ids = columns["doc_id"]
+                    found = wanted.has(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64))
+                    yield {**columns, "trusted": [bool(f) and d is not None and d not in but for f, d in zip(found, ids)]}
 
+            return step
 
-def _unplanes(b: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+        return make
+
+    near = map_batches(docs.select("doc_id"), "doc_id long, trusted boolean", passes(frozenset())).where("trusted").select("doc_id").distinct()
+    false = materialize(near.join(trusted.hint("merge"), "doc_id", "left_anti"))
+    some = [r["doc_id"] for r in false.limit(FEW_IDS + 1).collect()]
+    if len(some) <= FEW_IDS:
+        return map_batches(docs, f"{schema}, trusted boolean", passes(frozenset(some)))
+    return docs.join(trusted.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left").select(*docs.columns, F.coalesce("trusted", F.lit(False)).alias("trusted"))
+
+
+class _Block:
+    def __init__(self, trusted: bool):
+        self.trusted = trusted
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.low, self.docs, self.words = [], [], [], 0
+
+    def add(self, doc: tuple, keys: np.ndarray, low: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.keys.append(keys)
+        self.words += len(keys)
+        if self.trusted:
+            self.low.append(low)
+
+    def rows(self, block: int, half: int, shards: int):
+        sizes = [len(k) for k in self.keys]
+        yield -1, 0, half, block, len(sizes), zlib.compress(pickle.dumps((self.trusted, self.docs)), 1)
+        if not sum(sizes):
+            return
+        packed = np.concatenate(self.keys) << np.uint64(16) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        if self.trusted:
+            order = np.argsort(packed)
+            packed, low = packed[order], np.concatenate(self.low)[order]
+        else:
+            packed.sort()
+        at = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
+        times = np.diff(np.r_[at, len(packed)]).astype(np.uint32)
+        packed = packed[at]
+        keys, docs = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        ends = np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(CONTEXT_BITS + WORD_BITS - (shards.bit_length() - 1)))
+        for s in range(shards):
+            a, b = int(ends[s]), int(ends[s + 1])
+            if a < b:
+                own = keys[a:b][first[a:b]]
+                sent = [_pack(np.diff(own, prepend=np.uint64(0))), zlib.compress(np.packbits(first[a:b]).tobytes(), 1), _pack(docs[a:b]), _pack(times[a:b])]
+                if self.trusted:
+                    p = low[at[a:b]][first[a:b]]
+                    sent.append(_pack(np.minimum(np.rint(p * -_STEPS), 65535).astype(np.uint16)))
+                yield s, (half if self.trusted else 2), half, block, len(sizes), pickle.dumps(sent)
+
+
+_ROW = ("shard", "turn", "half", "block", "n", "x")
+_SCHEMA = "shard int, turn int, half int, block long, n int, x binary"
+
+
+class Counts:
+    """The trusted bigrams of a shard for one of the models, and what follows from them."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.keys = self.contexts = np.zeros(0, dtype=np.uint64)
+        self.values = self.weights = np.zeros(0)
+
+    def add(self, keys: np.ndarray, n: np.ndarray, low: np.ndarray) -> None:
+        self.parts.append((keys, n, low))
+
+    def finish(self) -> None:
+        if not self.parts:
+            return
+        keys, n, low = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        order = np.argsort(keys, kind="stable")
+        at = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        # of words that fall together the likelier spelling counts, whatever the order of the blocks
+        n, low = np.add.reduceat(n[order], at).astype(np.float64), np.maximum.reduceat(low[order], at)
+        self.keys = keys[order][at]
+        d = np.array(kneser_ney.discounts({i: int(k) for i, k in enumerate(np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6))}))
+        cut = d[np.minimum(n, 3).astype(np.int64) - 1]
+        context = self.keys >> np.uint64(WORD_BITS)
+        starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        self.contexts = context[starts]
+        total, freed = np.add.reduceat(n, starts), np.maximum(np.add.reduceat(cut, starts), 1e-9)
+        self.weights = np.log(freed / total)
+        sizes = np.diff(np.r_[starts, len(n)])
+        with np.errstate(divide="ignore"):
+            self.values = np.repeat(self.weights, sizes) + np.logaddexp(0, np.log(np.maximum(n - cut, 0)) - np.log(np.repeat(freed, sizes)) - low)
+
+    @staticmethod
+    def _look(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        hit = table[at] == keys
+        return np.where(hit, values[at], 0.0), hit
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log P(w | v) - log P0(w) of each bigram."""
+        value, hit = self._look(self.keys, self.values, keys)
+        weight, _ = self._look(self.contexts, self.weights, keys >> np.uint64(WORD_BITS))
+        return np.where(hit, value, weight)
+
+
+class _Shards:
+    """One shard after another: counts of both models from trusted blocks first, then sums for documents."""
+
+    def __init__(self):
+        self.sums: dict[int, np.ndarray] = {}
+        self.kept = 0
+        self.begin(None)
+
+    def begin(self, shard) -> None:
+        # models by the half that they score: the first is made of the trusted documents of half 1, the second of half 0
+        self.shard, self.turn, self.models, self.held = shard, 0, (Counts(), Counts()), []
+
+    def advance(self, turn: int) -> None:
+        if self.turn == 0 and turn > 0:
+            self.models[1].finish()
+        if self.turn < 2 and turn > 1:
+            self.models[0].finish()
+            for row in self.held:
+                self.score(0, *row)
+            self.held = []
+        self.turn = turn
+
+    def score(self, half: int, block: int, n: int, sent: list) -> None:
+        keys = np.cumsum(_unpack(sent[0], np.uint64), dtype=np.uint64)
+        docs, times = _unpack(sent[2], np.uint16), _unpack(sent[3], np.uint32)
+        first = np.unpackbits(np.frombuffer(zlib.decompress(sent[1]), dtype=np.uint8), count=len(docs))
+        value = self.models[half].score(keys)[np.cumsum(first) - 1] * times
+        if block not in self.sums:
+            self.sums[block] = np.zeros(n)
+            self.kept += n
+        self.sums[block] += np.bincount(docs, value, n)
+
+    def count(self, half: int, sent: list) -> None:
+        keys = np.cumsum(_unpack(sent[0], np.uint64), dtype=np.uint64)
+        times = _unpack(sent[3], np.uint32).astype(np.int64)
+        first = np.unpackbits(np.frombuffer(zlib.decompress(sent[1]), dtype=np.uint8), count=len(times))
+        self.models[1 - half].add(keys, np.add.reduceat(times, np.flatnonzero(first)), _unpack(sent[4], np.uint16) / -_STEPS)
+
+    def take(self, shard, turn, half, block, n, x) -> None:
+        if shard != self.shard:
+            self.advance(2)
+            self.begin(shard)
+        self.advance(turn)
+        sent = pickle.loads(x)
+        if turn < 2:
+            self.count(half, sent)
+        if turn == 0:
+            self.held.append((block, n, sent))
+        else:
+            self.score(half, block, n, sent)
 
+    def flush(self):
+        rows = [(-2, 0, 0, block, len(v), _pack(v.astype(np.float32))) for block, v in self.sums.items()]
+        self.sums, self.kept = {}, 0
+        return rows
 
-def deal(grams: np.ndarray, shards: int):
-    """(shard, places, bytes of the sorted keys) for each shard that has some."""
-    shard = (grams % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((grams, shard))
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[ends[s] : ends[s + 1]]
-        if len(at):
-            yield s, at, _planes(np.diff(grams[at], prepend=np.uint64(0)))
 
+def _columns(rows: list[tuple]) -> dict:
+    return {c: [r[i] for r in rows] for i, c in enumerate(_ROW)}
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """half (whose model it belongs to), a, b, c, n: counts of order 3. A text of half 0 is in the model that scores half 1."""
 
-    def make():
-        words = Words()
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, _key, trusted, n_symbols, total for every row of ``docs`` (doc_id long, lang, text, _key): total is
+    the log probability of the text."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    rows = flagged(docs.select("doc_id", "lang", "text", "_key", F.expr(HALF).alias("half")), labels)
+    table = kneser_ney.spelling(rows.where("trusted").select("text"))
+    shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    chars = docs.agg(F.sum(F.length("text"))).head()[0] or 0
+    shards = 1
+    while shards < MOST_SHARDS and shards * SHARD_CHARS < chars:
+        shards *= 2
+
+    def deal():
+        scorer, context = kneser_ney.Scorer(shared.value), TaskContext.get()
+        blocks = {(h, t): _Block(t) for h in (0, 1) for t in (False, True)}
+        turn = [(context.partitionId() if context else 0) << 24]
+
+        def flush(half, trusted):
+            turn[0] += 1
+            yield _columns(list(blocks[half, trusted].rows(turn[0], half, shards)))
+            blocks[half, trusted].clear()
 
         def step(columns):
             if columns is None:
+                for (half, trusted), block in blocks.items():
+                    if block.docs:
+                        yield from flush(half, trusted)
                 return
-            for text, half in zip(columns["text"], columns["half"]):
-                if text and (split := text.split()):
-                    ids = words.look(split)[0].view(np.int64)
-                    c = np.append(ids, 0)
-                    yield {"half": np.full(len(c), 1 - half, dtype=np.int32), "a": np.concatenate([[0, 0], ids])[: len(c)], "b": np.concatenate([[0], ids]), "c": c}
+            split = [(t or "").split() for t in columns["text"]]
+            for i, (words, low) in enumerate(zip(split, scorer.words(split))):
+                half, trusted, text = columns["half"][i], columns["trusted"][i], columns["text"][i] or ""
+                block = blocks[half, trusted]
+                block.add((columns["doc_id"][i], columns["lang"][i], columns["_key"][i], len(text) + 1, float(low.sum(dtype=np.float64))), keys_of(word_ids(words)), low)
+                if block.words >= BLOCK_WORDS or len(block.docs) >= BLOCK_DOCS:
+                    yield from flush(half, trusted)
 
         return step
 
-    rows = map_batches(texts.select("text", F.expr(HALF).alias("half")), "half int, a long, b long, c long", make)
-    return materialize(rows.groupBy("half", "a", "b", "c").agg(F.count("*").alias("n")))
-
+    def add():
+        state = _Shards()
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """The distinct words."""
-
-    def make():
         def step(columns):
-            if columns is not None:
-                yield {"text": list({w for text in columns["text"] if text for w in text.split()})}
+            out = []
+            if columns is None:
+                state.advance(2)
+                out = state.flush()
+            else:
+                for row in zip(*(columns[c] for c in _ROW)):
+                    if row[0] < 0:
+                        out.append(row)
+                        continue
+                    state.take(*row)
+                    if state.kept > KEPT_SUMS:
+                        out += state.flush()
+            if out:
+                yield _columns(out)
 
         return step
 
-    return materialize(map_batches(texts.select("text"), "text string", make).distinct())
-
-
-def values(trigrams: DataFrame, spelled: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """order, half, a, b, c, v of all n-grams and contexts (0 where they have no such word), and log w of () by half."""
-    named = {3: ["a", "b", "c"], 2: ["b", "c"], 1: ["c"]}
-    levels = {3: trigrams}
-    for k in (2, 1):
-        levels[k] = materialize(levels[k + 1].groupBy("half", *named[k]).agg(F.count("*").alias("n")))
-    below, found, free = spelled.withColumnRenamed("l0", "low"), [], {}
-    for k in (1, 2, 3):
-        few = levels[k].where("n <= 4").groupBy("half", "n").agg(F.count("*").alias("k")).collect()
-        d = F.lit(0.0)
-        for half in (0, 1):
-            one, two, more = kneser_ney.discounts({r["n"]: r["k"] for r in few if r["half"] == half})
-            d = F.when(F.col("half") == half, F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)).otherwise(d)
-        own, context = levels[k].withColumn("d", d), ["half", *named[k][:-1]]
-        sums = own.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("d").alias("freed")).select(*context, "total", F.greatest(F.col("freed") / F.col("total"), F.lit(1e-9)).alias("w"))
-        sums = materialize(sums)
-        if k == 1:
-            free = {r["half"]: float(np.log(r["w"])) for r in sums.collect()}  # two rows
-        else:
-            at = {2: {"c": "b"}, 3: {"b": "a", "c": "b"}}[k]  # a context's words, named as an n-gram of the order below
-            found.append(sums.select(F.lit(k - 1).alias("order"), "half", *[(F.col(at[x]) if x in at else F.lit(0).cast("long")).alias(x) for x in "abc"], F.log("w").alias("v")))
-        joined = own.join(sums.hint("merge"), context).join(below.hint("merge"), (["half"] if k > 1 else []) + named[max(k - 1, 1)] if k < 3 else ["half", "b", "c"])
-        p = F.log(F.greatest((F.col("n") - F.col("d")) / F.col("total") + F.col("w") * F.exp("low"), F.lit(1e-300)))
-        level = materialize(joined.select("half", *named[k], p.alias("p"), (p - F.log("w") - F.col("low")).alias("v")))
-        found.append(level.select(F.lit(k).alias("order"), "half", *[(F.col(x) if x in named[k] else F.lit(0).cast("long")).alias(x) for x in "abc"], "v"))
-        below = level.select("half", *named[k], F.col("p").alias("low"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    return every, free
-
-
-class WordModel:
-    def __init__(self, texts: DataFrame):
-        """``texts``: doc_id, text of the trusted documents."""
-        spark = texts.sparkSession
-        self.spark = spark
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-        texts = materialize(texts)
-        words = vocabulary(texts)
-        # with few words a discount, and so a probability, can be 0
-        spelling = np.maximum(kneser_ney.log_probabilities(kneser_ney.count_grams(words)), np.float32(-kneser_ney.BITS * kneser_ney.ORDER * np.log(2)))
-        table = self.table = spark.sparkContext.broadcast(zlib.compress(spelling.tobytes(), 1))
-
-        def make():
-            scorer = kneser_ney.Scorer(table.value)
+    def join():
+        held: dict = {"block": None, "head": None, "sums": None}
 
-            def step(columns):
-                if columns is not None:
-                    yield {"c": np.array([word_id(w) for w in columns["text"]], dtype=np.uint64).view(np.int64), "l0": [scorer.total(w) for w in columns["text"]]}
+        def finish():
+            if held["head"] is not None:
+                trusted, docs = held["head"]
+                ids, lang, key, n, base = (list(x) for x in zip(*docs))
+                total = np.array(base) + (0 if held["sums"] is None else held["sums"])
+                yield {"doc_id": ids, "lang": lang, "_key": key, "trusted": [trusted] * len(ids), "n_symbols": n, "total": total}
+            held.update(head=None, sums=None)
 
-            return step
-
-        border = spark.createDataFrame([(0, float(spelling[0]))], "c long, l0 double")
-        spelled = materialize(map_batches(words, "c long, l0 double", make).unionAll(border))
-        self.border = float(spelling[0])
-        every, self.free = values(count_words(texts), spelled)
-        self.rows = materialize(every)
-        self.shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.rows.count() // _TABLE_ROWS + 1)
-
-    def totals(self, docs: DataFrame) -> DataFrame:
-        """key, total: log probability of the text of each distinct key of ``docs`` (key, half, text)."""
-        shards, table, free, border = self.shards, self.table, self.free, self.border
-        schema = "shard int, kind int, grams binary, x binary, docs binary"
-
-        def dealt():
-            def step(columns):
-                if columns is not None:
-                    order, half = columns["order"], columns["half"]
-                    a, b, c = (columns[k].view(np.uint64) for k in "abc")
-                    key = np.where(order == 1, keys(half, c), 0).astype(np.uint64)
-                    key = np.where(order == 2, keys(half, c, b), key)
-                    key = np.where(order == 3, keys(half, c, b, a), key)
-                    rows = list(deal(key, shards))
-                    yield {"shard": [r[0] for r in rows], "kind": [0] * len(rows), "grams": [r[2] for r in rows], "x": [columns["v"][r[1]].tobytes() for r in rows], "docs": [b""] * len(rows)}
-
-            return step
-
-        def asked():
-            words, held = Words(table.value), {"grams": [], "keys": [], "base": [], "size": 0, "turn": 0}
-
-            def flush():
-                if held["keys"]:
-                    grams, ids = np.concatenate(held["grams"]), np.array(held["keys"], dtype=np.int64)
-                    place = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(g) for g in held["grams"]])
-                    rows = []
-                    for s, at, sent in deal(grams, shards):
-                        some, inner = np.unique(place[at], return_inverse=True)
-                        rows.append((s, 1, sent, _planes(inner.astype(np.uint16)), ids[some].tobytes()))
-                    # what needs no table goes with the first shard in turn
-                    rows.append((held["turn"] % shards, 2, b"", np.array(held["base"]).tobytes(), ids.tobytes()))
-                    held.update(grams=[], keys=[], base=[], size=0, turn=held["turn"] + 1)
-                    yield {name: [r[i] for r in rows] for i, name in enumerate(("shard", "kind", "grams", "x", "docs"))}
-
-            def step(columns):
-                if columns is None:
-                    yield from flush()
-                    return
-                for key, half, text in zip(columns["key"], columns["half"], columns["text"]):
-                    ids, base = words.look((text or "").split())
-                    grams = occurrences(ids, half)
-                    held["grams"].append(grams)
-                    held["keys"].append(key)
-                    held["base"].append(base + border + free.get(half, 0.0) * (len(ids) + 1))
-                    held["size"] += len(grams)
-                    if held["size"] > _BLOCK_GRAMS or len(held["keys"]) >= _BLOCK_DOCS:
-                        yield from flush()
-
-            return step
-
-        def add():
-            held = {"shard": None, "parts": [], "keys": None, "v": None}
-
-            def step(columns):
-                for shard, kind, grams, x, ids in zip(*(columns[c] for c in ("shard", "kind", "grams", "x", "docs"))) if columns else ():
-                    if shard != held["shard"]:
-                        held.update(shard=shard, parts=[], keys=None, v=None)
-                    if kind == 2:
-                        base = np.frombuffer(x)
-                        yield {"key": np.frombuffer(ids, dtype=np.int64), "part": base, "n": np.ones(len(base), dtype=np.int64)}
-                        continue
-                    sent = np.cumsum(_unplanes(grams, np.uint64), dtype=np.uint64)
-                    if kind == 0:
-                        held["parts"].append((sent, np.frombuffer(x)))
-                        continue
-                    if held["keys"] is None:
-                        every = np.concatenate([p[0] for p in held["parts"]]) if held["parts"] else np.zeros(0, dtype=np.uint64)
-                        held["keys"], at = np.unique(every, return_inverse=True)
-                        held["v"] = np.bincount(at, np.concatenate([p[1] for p in held["parts"]])) if len(every) else np.zeros(0)
-                        held["parts"] = []
-                    if not len(held["keys"]):
-                        continue
-                    at = np.minimum(np.searchsorted(held["keys"], sent), len(held["keys"]) - 1)
-                    v = np.where(held["keys"][at] == sent, held["v"][at], 0.0)
-                    docs_of = np.frombuffer(ids, dtype=np.int64)
-                    yield {"key": docs_of, "part": np.bincount(_unplanes(x, np.uint16), v, len(docs_of)), "n": np.zeros(len(docs_of), dtype=np.int64)}
+        def step(columns):
+            if columns is None:
+                yield from finish()
+                return
+            for shard, block, x in zip(columns["shard"], columns["block"], columns["x"]):
+                if block != held["block"]:
+                    yield from finish()
+                    held["block"] = block
+                if shard == -1:
+                    held["head"] = pickle.loads(zlib.decompress(x))
+                else:
+                    sums = _unpack(x, np.float32).astype(np.float64)
+                    held["sums"] = sums if held["sums"] is None else held["sums"] + sums
 
-            return step
+        return step
 
-        model = map_arrow(self.rows, schema, dealt)
-        both = model.unionAll(map_batches(docs.select("key", "half", "text"), schema, asked))
-        sharded = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
-        sums = map_batches(sharded, "key long, part double, n long", add).groupBy("key").agg(F.sum("part").alias("part"), F.sum("n").alias("n"))
-        return sums.select("key", (F.col("part") / F.col("n")).alias("total"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 256)
+    sent = map_batches(rows, _SCHEMA, deal)
+    place = F.when(F.col("shard") < 0, F.col("block")).otherwise(F.col("shard"))
+    dealt = sent.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions("shard", "turn")
+    back = map_batches(dealt, _SCHEMA, add).select("shard", "block", "x").repartition(parts, "block").sortWithinPartitions("block")
+    return map_batches(back, "doc_id long, lang string, _key long, trusted boolean, n_symbols long, total double", join)
