@@ -14,7 +14,7 @@ BLOOM_BITS = 1 << 26
 
 
 class Bloom:
-    """A Bloom filter of 64-bit names with a fixed size."""
+    """A Bloom filter of 64-bit names with a fixed size. Names are hashes: numbers in a row would fall together."""
 
     def __init__(self, words: np.ndarray | None = None):
         self.words = np.zeros(BLOOM_BITS // 8, dtype=np.uint8) if words is None else words

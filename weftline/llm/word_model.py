@@ -80,7 +80,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     set, or, if they are many, a join finds them. Both give the same.
     """
     trusted = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    bloom = bloom_of(trusted, "doc_id")
+    bloom = bloom_of(trusted.select(F.xxhash64("doc_id").alias("mark")), "mark")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def passes(but: frozenset):
@@ -90,18 +90,19 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
             def step(columns):
                 if columns is not None:
                     ids = columns["doc_id"]
-                    found = wanted.has(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64))
+                    found = wanted.has(np.array(columns.pop("_mark"), dtype=np.int64).view(np.uint64))
                     yield {**columns, "trusted": [bool(f) and d is not None and d not in but for f, d in zip(found, ids)]}
 
             return step
 
         return make
 
-    near = map_batches(docs.select("doc_id"), "doc_id long, trusted boolean", passes(frozenset())).where("trusted").select("doc_id").distinct()
+    marked = docs.withColumn("_mark", F.xxhash64("doc_id"))
+    near = map_batches(marked.select("doc_id", "_mark"), "doc_id long, trusted boolean", passes(frozenset())).where("trusted").select("doc_id").distinct()
     false = materialize(near.join(trusted.hint("merge"), "doc_id", "left_anti"))
     some = [r["doc_id"] for r in false.limit(FEW_IDS + 1).collect()]
     if len(some) <= FEW_IDS:
-        return map_batches(docs, f"{schema}, trusted boolean", passes(frozenset(some)))
+        return map_batches(marked, f"{schema}, trusted boolean", passes(frozenset(some)))
     return docs.join(trusted.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left").select(*docs.columns, F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
