@@ -19,11 +19,10 @@ class Bloom:
     def __init__(self, words: np.ndarray | None = None):
         self.words = np.zeros(BLOOM_BITS // 8, dtype=np.uint8) if words is None else words
 
-    @staticmethod
-    def slots(names: np.ndarray):
+    def slots(self, names: np.ndarray):
         names = names.astype(np.uint64)
         for i in range(4):
-            yield ((names * np.uint64(2 * i + 1)) >> np.uint64(7 + 9 * i)) % np.uint64(BLOOM_BITS)
+            yield ((names * np.uint64(2 * i + 1)) >> np.uint64(7 + 9 * i)) % np.uint64(8 * len(self.words))
 
     def add(self, names: np.ndarray) -> None:
         for slot in self.slots(names):
@@ -42,7 +41,7 @@ def bloom_of(names: DataFrame, column: str = "sid"):
     spark = names.sparkSession
 
     def make():
-        bloom, any_ = Bloom(), [False]
+        bloom, any_ = Bloom(np.zeros(slices * width, dtype=np.uint8)), [False]
 
         def step(columns):
             if columns is not None:
