@@ -299,8 +299,10 @@ def test_flags(spark, monkeypatch):
     labels = spark.range(0, 3000, 3).selectExpr("id as doc_id", "cast(1 + id % 2 as int) as quality")
     for few in (100_000, 0):
         monkeypatch.setattr(word_model, "FEW_IDS", few)
-        found = word_model.flagged(docs, labels).collect()
-        assert len(found) == 3000 and {r["doc_id"] for r in found if r["trusted"]} == set(range(0, 3000, 6))
+        rows, make = word_model.flagged(docs, labels)
+        rows = rows.collect()
+        flags = make()({"doc_id": [r["doc_id"] for r in rows], "mark": [r["mark"] for r in rows]})
+        assert len(rows) == 3000 and {r["doc_id"] for r, f in zip(rows, flags) if f} == set(range(0, 3000, 6))
 
 
 def test_classifier_sees_word_order(spark):

@@ -80,8 +80,9 @@ class Symbols:
         return grams[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
 
 
-def count_grams(texts: DataFrame) -> np.ndarray:
-    """Counts of all 2^24 n-grams of the words, and of the ends, of all rows of ``texts``.
+def count_grams(texts: DataFrame, wanted=lambda: None) -> np.ndarray:
+    """Counts of all 2^24 n-grams of the words, and of the ends, of all rows of ``texts``, or of those that are wanted:
+    ``wanted`` makes a function from a batch to a flag for each row.
 
     Each partition's counts go in slices of the range to the worker that adds that slice up; the sums, of bounded size,
     come to the driver.
@@ -89,7 +90,7 @@ def count_grams(texts: DataFrame) -> np.ndarray:
     width = (1 << BITS * ORDER) // _SLICES
 
     def make():
-        symbols, held, size = Symbols(), [], [0]
+        symbols, test, held, size = Symbols(), wanted(), [], [0]
 
         def flush():
             if held:
@@ -104,11 +105,13 @@ def count_grams(texts: DataFrame) -> np.ndarray:
             if columns is None:
                 yield from flush()
                 return
-            words = [w for text in columns["text"] if text and (split := text.split()) for w in (*split, "")]
-            held.append(symbols.grams(words))
-            size[0] += len(held[-1])
-            if size[0] > _BLOCK:
-                yield from flush()
+            flags = test(columns) if test else [True] * len(columns["text"])
+            for text, flag in zip(columns["text"], flags):
+                if flag and text and (split := text.split()):
+                    held.append(symbols.grams([*split, ""]))
+                    size[0] += len(held[-1])
+                    if size[0] > _BLOCK:
+                        yield from flush()
 
         return step
 
@@ -132,7 +135,7 @@ def count_grams(texts: DataFrame) -> np.ndarray:
 
         return step
 
-    parts = map_batches(texts.select("text"), "slice int, counts binary", make)
+    parts = map_batches(texts, "slice int, counts binary", make)
     whole = map_batches(parts.repartition(_SLICES, "slice").sortWithinPartitions("slice"), "slice int, counts binary", join)
     counts = np.zeros(1 << BITS * ORDER, dtype=np.int64)
     for row in whole.toLocalIterator():
@@ -174,8 +177,8 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(below, np.float32(2.0 ** (-BITS * ORDER))))
 
 
-def spelling(texts: DataFrame) -> np.ndarray:
-    return log_probabilities(count_grams(texts))
+def spelling(texts: DataFrame, wanted) -> np.ndarray:
+    return log_probabilities(count_grams(texts, wanted))
 
 
 class Scorer:

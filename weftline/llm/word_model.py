@@ -40,14 +40,16 @@ from weftline.session import materialize
 HALF = "cast(pmod(xxhash64(coalesce(doc_id, 0L)), 2) as int)"
 CONTEXT_BITS, WORD_BITS = 27, 21
 #: A block ends with this number of words or documents; a shard holds the bigrams of about so many characters of text.
-BLOCK_WORDS, BLOCK_DOCS, SHARD_CHARS, MOST_SHARDS = 2_000_000, 60_000, 8_000_000, 1 << 16
+BLOCK_WORDS, BLOCK_DOCS, SHARD_CHARS, MOST_SHARDS = 3_000_000, 60_000, 8_000_000, 1 << 16
 #: Sums that a worker keeps until it sends them (4 bytes each).
 KEPT_SUMS = 8_000_000
 #: Ids that pass the Bloom filter without the label: more than that are found by a join in place of a broadcast set.
 FEW_IDS = 100_000
 _BORDER = np.uint64(0x9E3779B97F4A7C15)
-#: Steps of the spelling's log probabilities as they are sent.
-_STEPS = 64
+#: Steps of the spelling's log probabilities, and of a document's sums, as they are sent.
+_STEPS, _SUM_STEPS = 64, 256
+#: Characters that a worker scores at a time.
+_CHUNK = 1_000_000
 
 
 def word_ids(words: list[str]) -> np.ndarray:
@@ -73,61 +75,72 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id long and others) with the column trusted: whether a label calls the id good.
+def flagged(docs: DataFrame, labels: DataFrame):
+    """``docs`` (doc_id long and others) with a column mark, and what makes a function, in a worker, from columns doc_id
+    and mark to whether a label calls each id good.
 
     A Bloom filter of the trusted ids goes to the executors; the few ids that pass it without being trusted go there as a
-    set, or, if they are many, a join finds them. Both give the same.
+    set, or, if they are many, a join finds the trusted rows. Both give the same.
     """
     trusted = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     bloom = bloom_of(trusted.select(F.xxhash64("doc_id").alias("mark")), "mark")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def passes(but: frozenset):
         def make():
             wanted = Bloom(np.frombuffer(bloom.value, dtype=np.uint8))
 
-            def step(columns):
-                if columns is not None:
-                    ids = columns["doc_id"]
-                    found = wanted.has(np.array(columns.pop("_mark"), dtype=np.int64).view(np.uint64))
-                    yield {**columns, "trusted": [bool(f) and d is not None and d not in but for f, d in zip(found, ids)]}
+            def test(columns):
+                found = wanted.has(np.array(columns["mark"], dtype=np.int64).view(np.uint64))
+                return [bool(f) and d is not None and d not in but for f, d in zip(found, columns["doc_id"])]
 
-            return step
+            return test
 
         return make
 
-    marked = docs.withColumn("_mark", F.xxhash64("doc_id"))
-    near = map_batches(marked.select("doc_id", "_mark"), "doc_id long, trusted boolean", passes(frozenset())).where("trusted").select("doc_id").distinct()
-    false = materialize(near.join(trusted.hint("merge"), "doc_id", "left_anti"))
+    def near():
+        test = passes(frozenset())()
+
+        def step(columns):
+            if columns is not None:
+                yield {"doc_id": [d for d, t in zip(columns["doc_id"], test(columns)) if t]}
+
+        return step
+
+    marked = docs.withColumn("mark", F.xxhash64("doc_id"))
+    false = materialize(map_batches(marked.select("doc_id", "mark"), "doc_id long", near).distinct().join(trusted.hint("merge"), "doc_id", "left_anti"))
     some = [r["doc_id"] for r in false.limit(FEW_IDS + 1).collect()]
     if len(some) <= FEW_IDS:
-        return map_batches(marked, f"{schema}, trusted boolean", passes(frozenset(some)))
-    return docs.join(trusted.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left").select(*docs.columns, F.coalesce("trusted", F.lit(False)).alias("trusted"))
+        return marked, passes(frozenset(some))
+    known = trusted.withColumn("mark", F.lit(1).cast("long")).hint("merge")
+    return docs.join(known, "doc_id", "left").select(*docs.columns, F.coalesce("mark", F.lit(0).cast("long")).alias("mark")), lambda: lambda columns: [m == 1 for m in columns["mark"]]
 
 
 class _Block:
-    def __init__(self, trusted: bool):
-        self.trusted = trusted
+    """Documents of one kind: the trusted ones of a half (0, 1), or all others (2)."""
+
+    def __init__(self, kind: int):
+        self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.low, self.docs, self.words = [], [], [], 0
+        self.keys, self.low, self.docs, self.halves, self.words = [], [], [], [], 0
 
-    def add(self, doc: tuple, keys: np.ndarray, low: np.ndarray) -> None:
+    def add(self, doc: tuple, half: int, keys: np.ndarray, low: np.ndarray) -> None:
         self.docs.append(doc)
+        self.halves.append(half)
         self.keys.append(keys)
         self.words += len(keys)
-        if self.trusted:
-            self.low.append(low)
+        if self.kind < 2:
+            self.low.append(np.minimum(np.rint(low * -_STEPS), 65535).astype(np.uint16))
 
-    def rows(self, block: int, half: int, shards: int):
+    def rows(self, block: int, shards: int):
         sizes = [len(k) for k in self.keys]
-        yield -1, 0, half, block, len(sizes), zlib.compress(pickle.dumps((self.trusted, self.docs)), 1)
+        yield -1, 0, block, len(sizes), zlib.compress(pickle.dumps((self.kind < 2, self.docs)), 1)
         if not sum(sizes):
             return
         packed = np.concatenate(self.keys) << np.uint64(16) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        if self.trusted:
+        self.keys = []
+        if self.kind < 2:
             order = np.argsort(packed)
             packed, low = packed[order], np.concatenate(self.low)[order]
         else:
@@ -137,20 +150,19 @@ class _Block:
         packed = packed[at]
         keys, docs = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
         first = np.r_[True, keys[1:] != keys[:-1]]
+        halves = np.packbits(np.array(self.halves, dtype=np.uint8)).tobytes()
         ends = np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(CONTEXT_BITS + WORD_BITS - (shards.bit_length() - 1)))
         for s in range(shards):
             a, b = int(ends[s]), int(ends[s + 1])
             if a < b:
                 own = keys[a:b][first[a:b]]
                 sent = [_pack(np.diff(own, prepend=np.uint64(0))), zlib.compress(np.packbits(first[a:b]).tobytes(), 1), _pack(docs[a:b]), _pack(times[a:b])]
-                if self.trusted:
-                    p = low[at[a:b]][first[a:b]]
-                    sent.append(_pack(np.minimum(np.rint(p * -_STEPS), 65535).astype(np.uint16)))
-                yield s, (half if self.trusted else 2), half, block, len(sizes), pickle.dumps(sent)
+                sent.append(halves if self.kind == 2 else _pack(low[at[a:b]][first[a:b]]))
+                yield s, self.kind, block, len(sizes), pickle.dumps(sent)
 
 
-_ROW = ("shard", "turn", "half", "block", "n", "x")
-_SCHEMA = "shard int, turn int, half int, block long, n int, x binary"
+_ROW = ("shard", "kind", "block", "n", "x")
+_SCHEMA = "shard int, kind int, block long, n int, x binary"
 
 
 class Counts:
@@ -210,27 +222,31 @@ class _Shards:
 
     def begin(self, shard) -> None:
         # models by the half that they score: the first is made of the trusted documents of half 1, the second of half 0
-        self.shard, self.turn, self.models, self.held = shard, 0, (Counts(), Counts()), []
+        self.shard, self.kind, self.models, self.held = shard, 0, (Counts(), Counts()), []
 
-    def advance(self, turn: int) -> None:
-        if self.turn == 0 and turn > 0:
+    def advance(self, kind: int) -> None:
+        if self.kind == 0 and kind > 0:
             self.models[1].finish()
-        if self.turn < 2 and turn > 1:
+        if self.kind < 2 and kind > 1:
             self.models[0].finish()
             for row in self.held:
                 self.score(0, *row)
             self.held = []
-        self.turn = turn
+        self.kind = kind
 
-    def score(self, half: int, block: int, n: int, sent: list) -> None:
+    def score(self, kind: int, block: int, n: int, sent: list) -> None:
         keys = np.cumsum(_unpack(sent[0], np.uint64), dtype=np.uint64)
         docs, times = _unpack(sent[2], np.uint16), _unpack(sent[3], np.uint32)
-        first = np.unpackbits(np.frombuffer(zlib.decompress(sent[1]), dtype=np.uint8), count=len(docs))
-        value = self.models[half].score(keys)[np.cumsum(first) - 1] * times
+        place = np.cumsum(np.unpackbits(np.frombuffer(zlib.decompress(sent[1]), dtype=np.uint8), count=len(docs))) - 1
+        if kind < 2:
+            value = self.models[kind].score(keys)[place]
+        else:
+            half = np.unpackbits(np.frombuffer(sent[4], dtype=np.uint8), count=n)[docs]
+            value = np.where(half, self.models[1].score(keys)[place], self.models[0].score(keys)[place])
         if block not in self.sums:
             self.sums[block] = np.zeros(n)
             self.kept += n
-        self.sums[block] += np.bincount(docs, value, n)
+        self.sums[block] += np.bincount(docs, value * times, n)
 
     def count(self, half: int, sent: list) -> None:
         keys = np.cumsum(_unpack(sent[0], np.uint64), dtype=np.uint64)
@@ -238,21 +254,21 @@ class _Shards:
         first = np.unpackbits(np.frombuffer(zlib.decompress(sent[1]), dtype=np.uint8), count=len(times))
         self.models[1 - half].add(keys, np.add.reduceat(times, np.flatnonzero(first)), _unpack(sent[4], np.uint16) / -_STEPS)
 
-    def take(self, shard, turn, half, block, n, x) -> None:
+    def take(self, shard, kind, block, n, x) -> None:
         if shard != self.shard:
             self.advance(2)
             self.begin(shard)
-        self.advance(turn)
+        self.advance(kind)
         sent = pickle.loads(x)
-        if turn < 2:
-            self.count(half, sent)
-        if turn == 0:
+        if kind < 2:
+            self.count(kind, sent)
+        if kind == 0:
             self.held.append((block, n, sent))
         else:
-            self.score(half, block, n, sent)
+            self.score(kind, block, n, sent)
 
     def flush(self):
-        rows = [(-2, 0, 0, block, len(v), _pack(v.astype(np.float32))) for block, v in self.sums.items()]
+        rows = [(-2, 0, block, len(v), _pack(np.rint(v * _SUM_STEPS).astype(np.int64))) for block, v in self.sums.items()]
         self.sums, self.kept = {}, 0
         return rows
 
@@ -266,8 +282,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the log probability of the text."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    rows = flagged(docs.select("doc_id", "lang", "text", "_key", F.expr(HALF).alias("half")), labels)
-    table = kneser_ney.spelling(rows.where("trusted").select("text"))
+    rows, trusting = flagged(docs.select("doc_id", "lang", "text", "_key", F.expr(HALF).alias("half")), labels)
+    table = kneser_ney.spelling(rows.select("text", "doc_id", "mark"), trusting)
     shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
     chars = docs.agg(F.sum(F.length("text"))).head()[0] or 0
     shards = 1
@@ -276,27 +292,37 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def deal():
         scorer, context = kneser_ney.Scorer(shared.value), TaskContext.get()
-        blocks = {(h, t): _Block(t) for h in (0, 1) for t in (False, True)}
+        test, blocks = trusting(), [_Block(kind) for kind in range(3)]
         turn = [(context.partitionId() if context else 0) << 24]
 
-        def flush(half, trusted):
+        def flush(block):
             turn[0] += 1
-            yield _columns(list(blocks[half, trusted].rows(turn[0], half, shards)))
-            blocks[half, trusted].clear()
+            yield _columns(list(block.rows(turn[0], shards)))
+            block.clear()
+
+        def some(columns, trusted, at):
+            split = [(columns["text"][i] or "").split() for i in at]
+            for i, words, low in zip(at, split, scorer.words(split)):
+                half, text = columns["half"][i], columns["text"][i] or ""
+                block = blocks[half if trusted[i] else 2]
+                block.add((columns["doc_id"][i], columns["lang"][i], columns["_key"][i], len(text) + 1, float(low.sum(dtype=np.float64))), half, keys_of(word_ids(words)), low)
+                if block.words >= BLOCK_WORDS or len(block.docs) >= BLOCK_DOCS:
+                    yield from flush(block)
 
         def step(columns):
             if columns is None:
-                for (half, trusted), block in blocks.items():
+                for block in blocks:
                     if block.docs:
-                        yield from flush(half, trusted)
+                        yield from flush(block)
                 return
-            split = [(t or "").split() for t in columns["text"]]
-            for i, (words, low) in enumerate(zip(split, scorer.words(split))):
-                half, trusted, text = columns["half"][i], columns["trusted"][i], columns["text"][i] or ""
-                block = blocks[half, trusted]
-                block.add((columns["doc_id"][i], columns["lang"][i], columns["_key"][i], len(text) + 1, float(low.sum(dtype=np.float64))), keys_of(word_ids(words)), low)
-                if block.words >= BLOCK_WORDS or len(block.docs) >= BLOCK_DOCS:
-                    yield from flush(half, trusted)
+            trusted, at, size = test(columns), [], 0
+            for i, text in enumerate(columns["text"]):
+                at.append(i)
+                size += len(text or "")
+                if size > _CHUNK:
+                    yield from some(columns, trusted, at)
+                    at, size = [], 0
+            yield from some(columns, trusted, at)
 
         return step
 
@@ -343,7 +369,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if shard == -1:
                     held["head"] = pickle.loads(zlib.decompress(x))
                 else:
-                    sums = _unpack(x, np.float32).astype(np.float64)
+                    sums = _unpack(x, np.int64) / _SUM_STEPS
                     held["sums"] = sums if held["sums"] is None else held["sums"] + sums
 
         return step
@@ -351,6 +377,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 256)
     sent = map_batches(rows, _SCHEMA, deal)
     place = F.when(F.col("shard") < 0, F.col("block")).otherwise(F.col("shard"))
-    dealt = sent.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions("shard", "turn")
+    dealt = sent.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions("shard", "kind")
     back = map_batches(dealt, _SCHEMA, add).select("shard", "block", "x").repartition(parts, "block").sortWithinPartitions("block")
     return map_batches(back, "doc_id long, lang string, _key long, trusted boolean, n_symbols long, total double", join)
