@@ -92,6 +92,51 @@ def test_shapes(spark):
     assert {r["t"]: r["s"] for r in df.select("t", text.word_shape(F.col("t")).alias("s")).collect()} == cases
 
 
+def test_clusters_of_any_graph(spark):
+    """Types of an unknown naming are clustered by their instances: musicians are artists, bands and venues stand alone."""
+    rows, base = [], "http://music.example/"
+    add = lambda s, p, o: rows.append((base + s, p if p == triples.RDF_TYPE else base + p, base + o, "uri"))
+    for i in range(30):
+        for kind in ("Artist", "Musician") if i % 5 else ("Artist",):
+            add(f"a{i}", triples.RDF_TYPE, kind)
+        add(f"a{i}", "memberOf", f"b{i % 7}")
+    for i in range(7):
+        add(f"b{i}", triples.RDF_TYPE, "Band")
+        add(f"b{i}", "playsAt", f"v{i % 3}")
+        rows.append((f"{base}b{i}", f"{base}name", f"Band {i}", "literal"))
+    for i in range(3):
+        add(f"v{i}", triples.RDF_TYPE, "Venue")
+    kb = KnowledgeBase(triples.ingest(spark.createDataFrame(rows, "s string, p string, o string, kind string")))
+    name = {r["index"]: r["uri"].removeprefix(base) for r in kb.resources.collect()}
+    clusters = {name[r["type"]]: name[r["cluster"]] for r in kb.type_clusters.collect()}
+    assert set(clusters) == {"Artist", "Musician", "Band", "Venue"} and clusters["Artist"] == clusters["Musician"] != clusters["Band"] == "Band"
+    assert kb.instance_clusters.count() == 40
+    chain = {(name[r["subject"]], name[r["predicate"]], name[r["object"]]) for r in kb.markov_chain(100).collect()}
+    assert {(clusters["Artist"], "memberOf", "Band"), ("Band", "playsAt", "Venue")} <= chain
+    assert kb.coverage_ambiguity.count() == 1
+    found = spark.createDataFrame([(1, kb.uri_index(f"{base}a1")), (1, kb.uri_index(f"{base}b2"))], "doc_id long, subject int")
+    guessed = linking.predict_facts(found, kb, kb.markov_top(kb.markov_chain(100), 1)).collect()
+    assert ("a1", "memberOf", "b2") in {(name[r["subject"]], name[r["predicate"]], name[r["object"]]) for r in guessed}
+
+
+def test_short_literals_beside_long_ones(spark):
+    for other in ("New York", "Berlin", "Customer#000000001"):
+        literals = spark.createDataFrame([(1, "USA", 0), (2, other, 0), (3, "UK", 0), (4, "x", 0)], "index int, literal string, prefix int")
+        symbols = spark.createDataFrame([(9, 1, i, 1.0) for i in (1, 2, 3, 4)], "subject int, predicate int, object int, belief double")
+        docs = spark.createDataFrame([(1, f"the USA and {other}. usa, Uk x USAid")], "doc_id long, text string")
+        assert sorted(r["surface"] for r in spotting.spot(docs, literals, symbols).collect()) == sorted(["USA", other, "usa", "Uk", "x"])
+
+
+def test_link_scores_of_many_documents(spark):
+    """Documents do not influence each other, whatever else is in the batch."""
+    graph = [(1, 2), (2, 3), (3, 1), (1, 4)]
+    rows = [(d, a + d, b + d, 1) for d in range(50) for a, b in graph[: 2 + d % 3]]
+    found = {(r["doc_id"], r["node"] - r["doc_id"]): tuple(r)[2:] for r in linking.link_scores(spark.createDataFrame(rows, "doc_id long, src int, dst int, predicate int")).collect()}
+    for d in range(3, 50):
+        assert all(found[d, n] == found[d % 3, n] for n in (1, 2, 3))
+    assert found[2, 1][0] == pytest.approx(0.310681198) and found[2, 4][2] == pytest.approx(0.707106781)
+
+
 def test_spotting_rules(spark):
     docs = spark.createDataFrame([(1, "New York City and new york. York Cityscape")], "doc_id long, text string")
     literals = spark.createDataFrame([(1, "New York", 0), (2, "New York City", 0), (3, "York City", 0), (4, "new york", 0)], "index int, literal string, prefix int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -27,12 +28,24 @@ def numbered(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     return placed.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, (F.col("_rank") + F.col("_before")).cast("int")).drop("_part", "_rank", "_before")
 
 
+def table_of_type(uri: Column) -> Column:
+    """The cluster of a type of the relational tables: sub-types (names with a hyphen) belong to their table's type."""
+    base = F.regexp_extract(uri, r"/type/([a-z]+)", 1)
+    base = F.when(base == "segment", "customer").when(base == "priority", "order").otherwise(base)
+    return F.concat(F.lit(f"{BASE}type/"), base)
+
+
 class KnowledgeBase:
-    """Everything derived from ingested triples (s, p, o, kind). Attributes are DataFrames; shared ones are written once."""
+    """Everything derived from ingested triples (s, p, o, kind). Attributes are DataFrames; shared ones are written once.
+
+    ``cluster_uri`` gives the URI of a type's cluster from the URI of the type, where the naming of types is known; without
+    it types are clustered by how their instances coincide.
+    """
 
-    def __init__(self, triples: DataFrame):
+    def __init__(self, triples: DataFrame, cluster_uri: Callable[[Column], Column] | None = None):
         self.triples = materialize(triples)
         self.spark = triples.sparkSession
+        self.cluster_uri = cluster_uri
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str) -> KnowledgeBase:
@@ -41,7 +54,7 @@ class KnowledgeBase:
         if made is None:
             made = spark._weftline_kb = {}
         if folder not in made:
-            made[folder] = cls(ingest(star_triples(spark, folder)))
+            made[folder] = cls(ingest(star_triples(spark, folder)), table_of_type)
         return made[folder]
 
     # dictionaries and encoding
@@ -152,13 +165,27 @@ class KnowledgeBase:
 
     @cached_property
     def type_clusters(self) -> DataFrame:
-        """type, cluster: a sub-type (name with a hyphen) belongs to the cluster of its base type, by the table it comes from."""
-        named = self.types.select("type").distinct().join(self.resources, F.col("type") == F.col("index")).select("type", "uri")
-        base = F.regexp_extract("uri", r"/type/([a-z]+)", 1)
-        base = F.when(base == "segment", "customer").when(base == "priority", "order").otherwise(base)
-        named = named.select("type", F.concat(F.lit(f"{BASE}type/"), base).alias("uri"))
+        """type, cluster."""
+        if self.cluster_uri is None:
+            return self.correlated_clusters()
+        named = self.types.select("type").distinct().join(self.resources, F.col("type") == F.col("index")).select("type", self.cluster_uri(F.col("uri")).alias("uri"))
         return materialize(named.join(self.resources, "uri").select("type", F.col("index").alias("cluster")))
 
+    def correlated_clusters(self, n: int = 50, threshold: float = 0.5) -> DataFrame:
+        """type, cluster: types whose instances coincide, each cluster named by its label; a type left alone is its own cluster.
+
+        Over n sampled instances of each type: Pearson correlations of the types' co-occurrences, average linkage, and as
+        label the type that says most about the members.
+        """
+        from weftline.operators import matrix
+
+        together = materialize(self.type_cooccurrence(n).select(F.col("t1").alias("row"), F.col("t2").alias("col"), F.col("count").cast("double").alias("value")))
+        found = materialize(matrix.hierarchical(matrix.pearson(together), threshold))
+        labels = matrix.label_clusters(found, matrix.conditional(together).select("a", "b", "probability"))
+        named = found.join(labels, "cluster").select(F.col("item").alias("type"), F.col("label").alias("cluster"))
+        alone = self.types.select("type").distinct().join(named, "type", "left_anti").select("type", F.col("type").alias("cluster"))
+        return materialize(named.unionAll(alone))
+
     @cached_property
     def classifications(self) -> DataFrame:
         """instance, type: the clusters of each instance."""

@@ -111,54 +111,70 @@ ROUNDS = 20
 
 
 def _ranks(pdf: pd.DataFrame, rounds: int, jump: float) -> pd.DataFrame:
+    """Scores of the nodes of whole documents, all documents at once."""
     import numpy as np
 
-    nodes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
-    src, dst = np.searchsorted(nodes, pdf["src"].to_numpy()), np.searchsorted(nodes, pdf["dst"].to_numpy())
-    n = len(nodes)
-    out = np.bincount(src, minlength=n).astype(float)
-    rank = np.full(n, 1.0 / n)
+    docs, doc_of_edge = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
+    src, dst = ((doc_of_edge.astype(np.int64) << 32) | pdf[c].to_numpy().astype(np.int64) for c in ("src", "dst"))
+    nodes = np.unique(np.concatenate([src, dst]))
+    src, dst, doc, size = np.searchsorted(nodes, src), np.searchsorted(nodes, dst), nodes >> 32, len(nodes)
+    n = np.bincount(doc)[doc]
+    out = np.bincount(src, minlength=size).astype(float)
+    rank = 1.0 / n
     for _ in range(rounds):
-        given = np.bincount(dst, weights=rank[src] / out[src], minlength=n)
-        rank = jump / n + (1 - jump) * (given + rank[out == 0].sum() / n)
-    hub = np.full(n, 1.0)
-    authority = np.full(n, 1.0)
+        given = np.bincount(dst, weights=rank[src] / out[src], minlength=size)
+        lost = np.bincount(doc, weights=np.where(out == 0, rank, 0.0))[doc]
+        rank = jump / n + (1 - jump) * (given + lost / n)
+    norm = lambda x: x / np.maximum(np.sqrt(np.bincount(doc, weights=x * x)), 1e-300)[doc]
+    hub = authority = np.full(size, 1.0)
     for _ in range(rounds):
-        authority = np.bincount(dst, weights=hub[src], minlength=n)
-        authority /= max(np.sqrt((authority**2).sum()), 1e-300)
-        hub = np.bincount(src, weights=authority[dst], minlength=n)
-        hub /= max(np.sqrt((hub**2).sum()), 1e-300)
-    return pd.DataFrame({"node": nodes, "pagerank": rank, "hub": hub, "authority": authority})
+        authority = norm(np.bincount(dst, weights=hub[src], minlength=size))
+        hub = norm(np.bincount(src, weights=authority[dst], minlength=size))
+    return pd.DataFrame({"doc_id": docs[doc], "node": nodes & 0xFFFFFFFF, "pagerank": rank, "hub": hub, "authority": authority})
 
 
 def link_scores(edges: DataFrame, rounds: int = ROUNDS, jump: float = 0.1) -> DataFrame:
-    """doc_id, node, pagerank, hub, authority: power iteration on each document's own small graph.
+    """doc_id, node, pagerank, hub, authority: power iteration on each document's own graph, to nine digits.
 
-    A document's graph is bounded by its candidates' edges; documents spread over all tasks.
+    Rows are dealt by document and sorted, so a batch holds many whole documents; the last one of a batch waits for the
+    next. Equal scores stay equal whatever the order of the sums, as ties are told by rounded values.
     """
     from weftline.session import ship_package
 
     ship_package(edges.sparkSession)
 
-    def ranks(key, pdf):
-        found = _ranks(pdf, rounds, jump)
-        found.insert(0, "doc_id", key[0])
-        return found
+    def ranks(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            last = pdf["doc_id"] == pdf["doc_id"].iloc[-1]
+            held = pdf[last]
+            if not last.all():
+                yield _ranks(pdf[~last], rounds, jump)
+        if held is not None and len(held):
+            yield _ranks(held, rounds, jump)
 
-    return simple(edges).groupBy("doc_id").applyInPandas(ranks, "doc_id long, node int, pagerank double, hub double, authority double")
+    dealt = simple(edges).select("doc_id", "src", "dst").repartition("doc_id").sortWithinPartitions("doc_id")
+    found = dealt.mapInPandas(ranks, "doc_id long, node int, pagerank double, hub double, authority double")
+    return found.withColumns({c: F.round(c, 9) for c in ("pagerank", "hub", "authority")})
 
 
-def scores(candidates: DataFrame, edges: DataFrame, resolver: str, seed: int = 1) -> DataFrame:
-    """doc_id, component, subject, score by the named resolver."""
+def drawn(*key: str, seed: int = 1):
+    """A number from 0 below 2^28 that depends on the key and the seed only."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *key, F.lit(str(seed)))), 1, 7), 16, 10).cast("double")
+
+
+def scores(candidates: DataFrame, edges: DataFrame, resolver: str, seed: int = 1, links: DataFrame | None = None) -> DataFrame:
+    """doc_id, component, subject, score by the named resolver. ``links``: ``link_scores`` of the edges, if already made."""
     if resolver == "random":
-        return candidates.select("doc_id", "component", "subject", (F.pmod(F.xxhash64("doc_id", "subject", F.lit(seed)), F.lit(1 << 30))).cast("double").alias("score"))
+        return candidates.select("doc_id", "component", "subject", drawn("doc_id", "subject", seed=seed).alias("score"))
     if resolver in ("degree", "flow"):
         found = degrees(edges)
         value = F.col("indegree") + F.col("outdegree") if resolver == "degree" else F.least("indegree", "outdegree")
     else:
-        found = link_scores(edges)
+        found = link_scores(edges) if links is None else links
         value = {"pagerank": F.col("pagerank"), "hub": F.col("hub"), "authority": F.col("authority"), "hits": F.col("hub") * F.col("authority"), "hits+": F.col("hub") + F.col("authority")}[resolver]
-    joined = candidates.join(found.select("doc_id", F.col("node").alias("subject"), value.cast("double").alias("value")), ["doc_id", "subject"], "left")
+    joined = candidates.join(found.select("doc_id", F.col("node").alias("subject"), F.round(value.cast("double"), 9).alias("value")), ["doc_id", "subject"], "left")
     return joined.select("doc_id", "component", "subject", F.coalesce("value", F.lit(0.0)).alias("score"))
 
 

@@ -55,13 +55,14 @@ def by_degree(found: DataFrame, edges: DataFrame, capacity: bool = False) -> Dat
     return subjects(found).join(d, ["doc_id", "subject"]).select("doc_id", "subject", value.cast("double").alias("value"))
 
 
-def by_links(found: DataFrame, edges: DataFrame, score: str) -> DataFrame:
-    """doc_id, subject, value by pagerank, hub or authority."""
-    return subjects(found).join(linking.link_scores(edges).withColumnRenamed("node", "subject"), ["doc_id", "subject"]).select("doc_id", "subject", F.col(score).alias("value"))
+def by_links(found: DataFrame, edges: DataFrame, score: str, links: DataFrame | None = None) -> DataFrame:
+    """doc_id, subject, value by pagerank, hub or authority. ``links``: ``link_scores`` of the edges, if already made."""
+    links = linking.link_scores(edges) if links is None else links
+    return subjects(found).join(links.withColumnRenamed("node", "subject"), ["doc_id", "subject"]).select("doc_id", "subject", F.col(score).alias("value"))
 
 
 def at_random(found: DataFrame, seed: int = 1) -> DataFrame:
-    return subjects(found).select("doc_id", "subject", (F.pmod(F.xxhash64("doc_id", "subject", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("value"))
+    return subjects(found).select("doc_id", "subject", (linking.drawn("doc_id", "subject", seed=seed) / float(1 << 28)).alias("value"))
 
 
 def long_form(metrics: dict[str, DataFrame]) -> DataFrame:

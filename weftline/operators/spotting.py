@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions.text import offsets, pieces
-from weftline.operators.kb import PREFIX
-from weftline.sources.triples import literal_hash
 
 #: Longest suffix in characters.
 MAX_SUFFIX = 100
+#: A literal is looked up by its first characters, as many as the longest of these lengths that it has: long ones keep
+#: literals that begin alike (numbered names) apart, short ones are for short literals.
+HEADS = (16, 8, 4, 3, 2, 1)
 
 
 def suffixes(docs: DataFrame, most_pieces: int) -> DataFrame:
@@ -33,13 +34,17 @@ def literal_rows(literals: DataFrame, symbols: DataFrame) -> DataFrame:
 def spot(docs: DataFrame, literals: DataFrame, symbols: DataFrame) -> DataFrame:
     """doc_id, a, b, literal_index, property, belief, literal, surface for each occurrence of a whole literal at a token start.
 
-    An equi-join on the prefix hash (of the first characters, lower case) finds candidates, a prefix test confirms them.
-    Occurrences that do not end with a token are removed.
+    An equi-join on the first characters (lower case) finds candidates, a prefix test confirms them. Each suffix has a
+    head of each length that some literal is looked up by, so short literals are found beside long ones. Occurrences
+    that do not end with a token are removed.
     """
-    wanted = literal_rows(literals, symbols).withColumn("hash", literal_hash(F.col("low"), PREFIX))
-    most = wanted.agg(F.max("n_pieces")).head()[0] or 1
-    found = suffixes(docs, most).withColumn("hash", literal_hash(F.col("suffix"), PREFIX))
-    hits = found.join(wanted, "hash").where(F.col("suffix").startswith(F.col("low")))
+    size = F.length("low")
+    head = F.coalesce(*[F.when(size >= n, F.substring("low", 1, n)) for n in HEADS])
+    wanted = literal_rows(literals, symbols).where(size > 0).withColumn("head", head)
+    known = wanted.agg(F.max("n_pieces").alias("most"), F.collect_set(F.length("head")).alias("lengths")).head()  # at most as many as HEADS
+    heads = F.array_distinct(F.array(*[F.substring("suffix", 1, n) for n in sorted(known["lengths"]) or [1]]))
+    found = suffixes(docs, known["most"] or 1).withColumn("head", F.explode(heads))
+    hits = found.join(wanted, "head").where(F.col("suffix").startswith(F.col("low")))
     rest = F.substring("surface", F.length("literal") + 1, F.lit(2))
     # the match ends with a token unless a word goes on behind it
     inside = rest.rlike(r"^[\p{L}\p{N}_]|^['’.][\p{L}\p{N}_]") & F.col("literal").rlike(r"[\p{L}\p{N}_]$")

@@ -58,6 +58,10 @@ class Context:
     def edges(self) -> DataFrame:
         return materialize(linking.staged_expansion(self.candidates, self.kb))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return materialize(linking.link_scores(self.edges))
+
     @cached_property
     def winners(self) -> DataFrame:
         votes = linking.resolve(linking.scores(self.candidates, self.edges, "degree"))
@@ -94,7 +98,7 @@ SPOT_SQL = f"""{KB_SQL},
 lits AS (SELECT DISTINCT s.object AS literal_index, s.predicate AS property, s.belief, l.literal, lower(l.literal) AS low, len(regexp_extract_all(l.literal, '{_PIECE}')) AS n FROM symbols s JOIN lit_dict l ON l.index = s.object),
 suf AS (SELECT t.doc_id, t.start, array_to_string(p[t.i:t.i + (SELECT max(n) FROM lits) - 1], '') AS surface FROM tokens t JOIN pieces USING (doc_id) WHERE regexp_matches(t.token, '^[\\p{{L}}\\p{{N}}]')),
 hits AS (SELECT doc_id, start AS a, (start + length(literal))::INTEGER AS b, literal_index, property, belief, literal, substr(surface, 1, length(literal)) AS surface, substr(surface, length(literal) + 1, 2) AS rest
- FROM suf JOIN lits ON substr(lower(surface), 1, 4) = substr(low, 1, 4) AND starts_with(lower(substr(surface, 1, 100)), low)),
+ FROM suf, (VALUES (1), (2), (3), (4)) v(k) JOIN lits ON least(length(low), 4) = v.k AND substr(lower(surface), 1, v.k) = substr(low, 1, v.k) AND starts_with(lower(substr(surface, 1, 100)), low)),
 spans AS (SELECT doc_id, a, b, literal_index, property, belief, literal, surface FROM hits WHERE NOT (regexp_matches(rest, '^[\\p{{L}}\\p{{N}}_]|^[''’.][\\p{{L}}\\p{{N}}_]') AND regexp_matches(literal, '[\\p{{L}}\\p{{N}}_]$'))),
 distinct_spans AS (SELECT DISTINCT doc_id, a, b FROM spans),
 longest AS (SELECT s.* FROM spans s WHERE NOT EXISTS (SELECT 1 FROM distinct_spans o WHERE o.doc_id = s.doc_id AND o.a <= s.a AND o.b >= s.b AND o.b - o.a > s.b - s.a)),
@@ -135,3 +139,15 @@ ratings AS (SELECT doc_id, 'position' AS metric, subject, value FROM r_position
 rowcount AS (SELECT doc_id, count(DISTINCT subject) AS n FROM ratings GROUP BY 1),
 stats AS (SELECT doc_id, metric, sum(value) / any_value(n) AS mean, greatest((sum(value * value) - any_value(n) * (sum(value) / any_value(n)) * (sum(value) / any_value(n))) / nullif(any_value(n) - 1, 0), 0) AS var FROM ratings JOIN rowcount USING (doc_id) GROUP BY 1, 2),
 normal AS (SELECT doc_id, metric, subject, CASE WHEN v <= 0 THEN 1e-5 ELSE v END AS value FROM (SELECT r.doc_id, r.metric, r.subject, (value - mean) / (CASE WHEN coalesce(var, 0) < 1e-18 THEN 1.0 ELSE sqrt(var) END) / 2 + 1 AS v FROM ratings r JOIN stats USING (doc_id, metric)))"""
+
+#: PageRank and HITS of each document's graph: ``linking.ROUNDS`` rounds as recursion.
+RANK_SQL = f"""{RATE_SQL},
+nodes AS (SELECT doc_id, node, outdegree AS outs, count(*) OVER (PARTITION BY doc_id) AS n FROM degrees),
+pr(doc_id, node, i, rank) AS (SELECT doc_id, node, 0, 1.0::DOUBLE / n FROM nodes UNION ALL
+ SELECT t.doc_id, t.node, t.i + 1, 0.1 / t.n + 0.9 * (coalesce(g.given, 0) + t.lost / t.n) FROM (SELECT p.doc_id, p.node, p.i, k.n, sum(CASE WHEN k.outs = 0 THEN p.rank ELSE 0 END) OVER (PARTITION BY p.doc_id) AS lost FROM pr p JOIN nodes k ON k.doc_id = p.doc_id AND k.node = p.node WHERE p.i < {linking.ROUNDS}) t
+ LEFT JOIN (SELECT e.doc_id, e.dst AS node, sum(p.rank / k.outs) AS given FROM pr p JOIN nodes k ON k.doc_id = p.doc_id AND k.node = p.node JOIN simple e ON e.doc_id = p.doc_id AND e.src = p.node GROUP BY 1, 2) g ON g.doc_id = t.doc_id AND g.node = t.node),
+hubs(doc_id, node, i, hub, authority) AS (SELECT doc_id, node, 0, 1.0::DOUBLE, 1.0::DOUBLE FROM nodes UNION ALL
+ SELECT doc_id, node, i + 1, h / greatest(sqrt(sum(h * h) OVER (PARTITION BY doc_id)), 1e-300), authority FROM (
+ SELECT a.doc_id, a.node, a.i, a.authority, coalesce(sum(b.authority), 0) AS h FROM (SELECT *, a / greatest(sqrt(sum(a * a) OVER (PARTITION BY doc_id)), 1e-300) AS authority FROM (SELECT k.doc_id, k.node, k.i, coalesce(sum(s.hub), 0) AS a FROM hubs k LEFT JOIN simple e ON e.doc_id = k.doc_id AND e.dst = k.node LEFT JOIN hubs s ON s.doc_id = k.doc_id AND s.node = e.src WHERE k.i < {linking.ROUNDS} GROUP BY 1, 2, 3)) a
+ LEFT JOIN simple e ON e.doc_id = a.doc_id AND e.src = a.node LEFT JOIN (SELECT doc_id, node, a / greatest(sqrt(sum(a * a) OVER (PARTITION BY doc_id)), 1e-300) AS authority FROM (SELECT k.doc_id, k.node, coalesce(sum(s.hub), 0) AS a FROM hubs k LEFT JOIN simple e ON e.doc_id = k.doc_id AND e.dst = k.node LEFT JOIN hubs s ON s.doc_id = k.doc_id AND s.node = e.src GROUP BY 1, 2)) b ON b.doc_id = a.doc_id AND b.node = e.dst GROUP BY 1, 2, 3, 4)),
+links AS (SELECT p.doc_id, p.node, round(p.rank, 9) AS pagerank, round(h.hub, 9) AS hub, round(h.authority, 9) AS authority FROM pr p JOIN hubs h ON h.doc_id = p.doc_id AND h.node = p.node WHERE p.i = {linking.ROUNDS} AND h.i = {linking.ROUNDS})"""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions import text
 from weftline.operators import evaluation, linking, rating, sinks, spotting
-from weftline.plans.context import LINK_SQL, RATE_SQL, SPOT_SQL, TEXT_SQL, Context
+from weftline.plans.context import LINK_SQL, RANK_SQL, RATE_SQL, SPOT_SQL, TEXT_SQL, Context
+from weftline.plans.knowledge import _COVERAGE_SQL
 from weftline.session import table
 
 ENTITIES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z]", "ip": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "digits": r"[0-9]{13,19}"}
@@ -25,7 +28,9 @@ def html_text(spark, folder):
 
 
 def segments(spark, folder):
-    return ctx(spark, folder).docs.select("doc_id", F.size(text.words(F.col("text"))).alias("n"), F.array_join(F.slice(text.words(F.col("text")), 1, 20), " ").alias("first"))
+    """The words of each text, one space between them."""
+    found = ctx(spark, folder).docs.select("doc_id", text.words(F.col("text")).alias("w"))
+    return found.select("doc_id", F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
 
 
 def noun_phrases(spark, folder):
@@ -72,7 +77,8 @@ def collapse(spark, folder):
 def resolver(name):
     def query(spark, folder):
         c = ctx(spark, folder)
-        return linking.resolve(linking.scores(c.candidates, c.edges, name))
+        links = None if name in ("degree", "flow", "random") else c.links
+        return linking.resolve(linking.scores(c.candidates, c.edges, name, links=links))
 
     return query
 
@@ -108,7 +114,7 @@ def rate(metric):
 def rate_links(score):
     def query(spark, folder):
         c = ctx(spark, folder)
-        return _round(rating.by_links(c.instances, c.edges, score), "value")
+        return _round(rating.by_links(c.instances, c.edges, score, c.links), "value")
 
     return query
 
@@ -230,6 +236,21 @@ _AP = "SELECT doc_id, sum(CASE WHEN hit THEN hits / rank ELSE 0 END) / any_value
 _PR = "SELECT doc_id, count(f) AS found, count(t) AS truth, count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) AS hits, coalesce(round(count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) / nullif(count(f), 0), 9), 0.0) AS precision, coalesce(round(count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) / nullif(count(t), 0), 9), 0.0) AS recall FROM (SELECT doc_id, subject, 1 AS f FROM {found}) FULL JOIN (SELECT doc_id, subject, 1 AS t FROM {truth}) USING (doc_id, subject) GROUP BY 1"
 _FUSED = {"product": "SELECT doc_id, subject, round(product(value) FILTER (value <> 0), 6) AS value FROM normal GROUP BY 1, 2 HAVING count(*) = 4", "belief": "SELECT doc_id, subject, round(1 - product(1 - value), 6) AS value FROM normal GROUP BY 1, 2 HAVING count(*) = 4"}
 _VOTES = "SELECT doc_id, component, subject, CASE WHEN {c} = max({c}) OVER w THEN 1 ELSE -1 END AS vote FROM scored WINDOW w AS (PARTITION BY doc_id, component) QUALIFY count(*) OVER w > 1"
+_LINK_VOTES = "SELECT doc_id, component, subject, CASE WHEN score = max(score) OVER w THEN 1 ELSE -1 END AS vote FROM (SELECT c.doc_id, c.component, c.subject, coalesce(round({score}, 9), 0.0) AS score FROM candidates c LEFT JOIN links l ON l.doc_id = c.doc_id AND l.node = c.subject) WINDOW w AS (PARTITION BY doc_id, component) QUALIFY count(*) OVER w > 1"
+_LINK_RATES = "SELECT i.doc_id, i.subject, l.{score} AS value FROM (SELECT DISTINCT doc_id, subject FROM inst) i JOIN links l ON l.doc_id = i.doc_id AND l.node = i.subject"
+_DRAWN = "('0x' || substr(md5(doc_id || ':' || subject || ':1'), 1, 7))::BIGINT::DOUBLE"
+_METRICS = ("position", "frequency", "rarity", "degree")
+_FUSIONS = " UNION ALL ".join(f"SELECT '{'+'.join(c)}' AS metric, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT doc_id, subject, product(CASE WHEN value = 0 THEN 1 ELSE value END) AS v FROM normal WHERE metric IN ({', '.join(repr(m) for m in c)}) GROUP BY 1, 2 HAVING count(*) = {len(c)}) HAVING count(*) > 0" for k in (2, 3, 4) for c in combinations(_METRICS, k))
+_AT_K = "found AS (SELECT DISTINCT doc_id, uri FROM (SELECT doc_id, lower(uri) AS uri, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, lower(uri)) AS k FROM r_position JOIN res_dict ON index = subject) WHERE k <= 3), wanted AS (SELECT DISTINCT doc_id, lower(uri) AS uri FROM truth JOIN res_dict ON index = subject), pr3 AS (SELECT doc_id, coalesce(count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) / nullif(count(f), 0), 0.0) AS p, coalesce(count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) / nullif(count(t), 0), 0.0) AS r FROM (SELECT *, 1 AS f FROM found) FULL JOIN (SELECT *, 1 AS t FROM wanted) USING (doc_id, uri) GROUP BY 1) SELECT doc_id, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 9) AS f1 FROM pr3"
+
+
+def _blank_sql(x: str, pattern: str, starts: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{pattern}'), lambda x: CASE WHEN regexp_matches(x, '{starts}') THEN regexp_replace(x, '[^\\n\\r]', ' ', 'g') ELSE x END), '')"
+
+
+_PLAIN = "html"
+for _markup in ((text._HEAD, "(?i)^<head"), (text._SCRIPT, "(?i)^<script"), (text._TAG, "(?s)^<.")):
+    _PLAIN = _blank_sql(_PLAIN, *_markup)
 _REGEX = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS regex, count(*) AS n, string_agg(v, ' ' ORDER BY v) AS values FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS v FROM documents) GROUP BY 1" for name, p in ENTITIES.items())
 _URI = "(SELECT index, uri FROM res_dict)"
 
@@ -241,19 +262,19 @@ def regex_entities(spark, folder):
 
 QUERIES = {
     "tokens": (lambda s, f: ctx(s, f).tokens, f'{TEXT_SQL} SELECT doc_id, start, "end", token FROM tokens'),
-    "segments": (segments, f"{TEXT_SQL} SELECT doc_id, coalesce(n, 0)::INTEGER AS n, coalesce(first, '') AS first FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(token, ' ' ORDER BY start) FILTER (k <= 20) AS first FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM tokens) GROUP BY 1) USING (doc_id)"),
+    "segments": (segments, f"{TEXT_SQL} SELECT doc_id, coalesce(n, 0)::INTEGER AS n, coalesce(words, '') AS words FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(token, ' ' ORDER BY start) AS words FROM tokens GROUP BY 1) USING (doc_id)"),
     "sentences": (lambda s, f: text.sentence_flags(ctx(s, f).tokens).select("doc_id", "start", "sent"), f"{SENT_SQL} SELECT doc_id, start, sent FROM sents"),
     "sentence_texts": (sentence_texts, f'{SENT_SQL} SELECT doc_id, sent, min(start) AS start, max("end") AS "end", count(*) AS n FROM sents GROUP BY 1, 2'),
     "token_range": (token_range, f'{SENT_SQL} SELECT doc_id, min(start) AS start, max("end") AS "end", count(*) AS n FROM sents WHERE sent < 2 GROUP BY 1 HAVING min(start) = 0'),
     "lang_id": (lambda s, f: text.detect_language(ctx(s, f).docs), f"{TEXT_SQL} SELECT doc_id, {_LANG_SQL} AS language FROM (SELECT *, greatest({', '.join(text.STOP_WORDS)}) AS best FROM (SELECT doc_id, {_STOP_SQL} FROM (SELECT doc_id, list_transform(p, lambda x: lower(x)) AS w FROM pieces)))"),
-    "html_text": (html_text, None),
+    "html_text": (html_text, f"SELECT page_id, plain, length(plain) = length(html) AS same_length FROM (SELECT page_id, html, {_PLAIN} AS plain FROM pages)"),
     "pos_rules": (lambda s, f: ctx(s, f).chunked.select("doc_id", "start", "pos"), f"{POS_SQL} SELECT doc_id, start, pos FROM tagged"),
     "np_tags": (lambda s, f: ctx(s, f).chunked.select("doc_id", "start", "np"), f"{NP_SQL} SELECT doc_id, start, np FROM np"),
     "noun_phrases": (noun_phrases, f"{NP_SQL} SELECT doc_id, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n_tokens FROM np WHERE np <> 'O' GROUP BY doc_id, run"),
     "phrase_stats": (phrase_stats, f"{NP_SQL} SELECT doc_id, count(*) AS tokens, count(*) FILTER (np = 'B-NP') AS phrases, count(*) FILTER (np <> 'O') AS inside, count(DISTINCT token) FILTER (np <> 'O') AS distinct_inside, count(DISTINCT token) AS distinct_tokens FROM np GROUP BY 1"),
     "word_shape": (word_shapes, f"{TEXT_SQL} SELECT {_SHAPE_SQL} AS shape, count(*) AS n FROM tokens GROUP BY 1"),
-    "ngrams": (word_ngrams, f"{TEXT_SQL}, w AS (SELECT doc_id, list(lower(token) ORDER BY start)[1:200] AS w FROM tokens GROUP BY 1), g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - least(len(w), 3), 0) + 2), lambda i: 'g:' || array_to_string(w[i:i + least(len(w), 3) - 1], ','))) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) > 1"),
-    "suffix_array": (suffix_array, f"{TEXT_SQL}, suf AS (SELECT t.doc_id, lower(substr(array_to_string(p[t.i:t.i + 4], ''), 1, 100)) AS suffix FROM tokens t JOIN pieces USING (doc_id) WHERE regexp_matches(t.token, '^[\\p{{L}}\\p{{N}}]')) SELECT doc_id, count(*) AS n, count(DISTINCT suffix) AS distinct, min(suffix) AS least FROM suf GROUP BY 1"),
+    "ngrams": (word_ngrams, f"{TEXT_SQL}, w AS (SELECT doc_id, list(lower(token) ORDER BY start) AS w FROM tokens GROUP BY 1), g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - least(len(w), 3), 0) + 2), lambda i: 'g:' || array_to_string(w[i:i + least(len(w), 3) - 1], ','))) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) > 1"),
+    "suffix_array": (suffix_array, f"{TEXT_SQL}, suf AS (SELECT t.doc_id, lower(substr(array_to_string(p[t.i:t.i + 99], ''), 1, 100)) AS suffix FROM tokens t JOIN pieces USING (doc_id) WHERE regexp_matches(t.token, '^[\\p{{L}}\\p{{N}}]')) SELECT doc_id, count(*) AS n, count(DISTINCT suffix) AS distinct, min(suffix) AS least FROM suf GROUP BY 1"),
     "regex_entities": (regex_entities, _REGEX),
     "spot_literals": (lambda s, f: ctx(s, f).spans, f"{SPOT_SQL} SELECT * FROM spans"),
     "spot_longest": (lambda s, f: spotting.longest(ctx(s, f).spans), f"{SPOT_SQL} SELECT * FROM longest"),
@@ -262,7 +283,7 @@ QUERIES = {
     "spot_bio": (lambda s, f: spotting.bio(ctx(s, f).kept), f"{SPOT_SQL} SELECT DISTINCT k.doc_id, t.start, k.property, k.literal_index, CASE WHEN t.start = k.a THEN 'B' ELSE 'I' END AS position FROM kept k JOIN tokens t ON t.doc_id = k.doc_id AND t.start >= k.a AND t.\"end\" <= k.b"),
     "spot_collapse": (collapse, f"{SPOT_SQL}, parts AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(surface), '\\s+')) AS part FROM spans WHERE regexp_matches(surface, '\\s')) SELECT doc_id, count(*) AS n FROM spans s WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = s.doc_id AND p.part = lower(s.surface)) GROUP BY 1"),
     "spot_property_df": (property_df, f"{SPOT_SQL} SELECT property, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM documents)::DOUBLE / (count(DISTINCT doc_id) + 1) AS score FROM kept GROUP BY 1"),
-    "rating_with_idf": (rating_with_idf, None),
+    "rating_with_idf": (rating_with_idf, f"{SPOT_SQL}, {_COVERAGE_SQL}, idf AS (SELECT property, (SELECT count(*) FROM documents)::DOUBLE / (count(DISTINCT doc_id) + 1) AS score FROM kept GROUP BY 1) SELECT cluster, property, round(coverage / ambiguity * coalesce(score, 0.0), 9) AS rating, coverage, ambiguity, coalesce(score, 0.0)::DOUBLE AS idf FROM rated LEFT JOIN idf USING (property)"),
     "instances": (lambda s, f: ctx(s, f).instances, f"{SPOT_SQL} SELECT * FROM inst"),
     "type_annotations": (lambda s, f: linking.typed(ctx(s, f).instances, ctx(s, f).kb), f"{SPOT_SQL} SELECT DISTINCT doc_id, subject, type, 1.0::DOUBLE AS probability FROM inst JOIN types USING (subject)"),
     "unambiguous_types": (lambda s, f: linking.unambiguous_types(ctx(s, f).instances, ctx(s, f).kb), f"{SPOT_SQL} SELECT doc_id, a, min(cluster) AS cluster FROM inst JOIN types USING (subject) JOIN type_clusters USING (type) GROUP BY 1, 2 HAVING min(cluster) = max(cluster)"),
@@ -275,12 +296,12 @@ QUERIES = {
     "leaf_prune": (lambda s, f: linking.prune_leaves(ctx(s, f).edges, ctx(s, f).candidates), f"{LINK_SQL}, weak AS (SELECT doc_id, node FROM degrees d WHERE indegree <= 1 AND outdegree <= 1 AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.doc_id = d.doc_id AND c.subject = d.node)) SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM weak w WHERE w.doc_id = e.doc_id AND w.node IN (e.src, e.dst))"),
     "resolve_degree": (resolver("degree"), f"{LINK_SQL} {_VOTES.format(c='degree')}"),
     "resolve_flow": (resolver("flow"), f"{LINK_SQL} {_VOTES.format(c='flow')}"),
-    "resolve_pagerank": (resolver("pagerank"), None),
-    "resolve_hub": (resolver("hub"), None),
-    "resolve_authority": (resolver("authority"), None),
-    "resolve_hits": (resolver("hits"), None),
-    "resolve_hits_plus": (resolver("hits+"), None),
-    "resolve_random": (resolver("random"), None),
+    "resolve_pagerank": (resolver("pagerank"), f"{RANK_SQL} {_LINK_VOTES.format(score='pagerank')}"),
+    "resolve_hub": (resolver("hub"), f"{RANK_SQL} {_LINK_VOTES.format(score='hub')}"),
+    "resolve_authority": (resolver("authority"), f"{RANK_SQL} {_LINK_VOTES.format(score='authority')}"),
+    "resolve_hits": (resolver("hits"), f"{RANK_SQL} {_LINK_VOTES.format(score='hub * authority')}"),
+    "resolve_hits_plus": (resolver("hits+"), f"{RANK_SQL} {_LINK_VOTES.format(score='hub + authority')}"),
+    "resolve_random": (resolver("random"), f"{LINK_SQL} SELECT doc_id, component, subject, CASE WHEN score = max(score) OVER w THEN 1 ELSE -1 END AS vote FROM (SELECT *, {_DRAWN} AS score FROM candidates) WINDOW w AS (PARTITION BY doc_id, component) QUALIFY count(*) OVER w > 1"),
     "resolve_classification": (resolve_classification, f"{LINK_SQL}, several AS (SELECT *, count(*) OVER (PARTITION BY doc_id, component) AS n FROM candidates) SELECT doc_id, component, s.subject, CASE WHEN cluster = (SELECT index FROM res_dict WHERE uri = 'http://ex/type/item') THEN 1 ELSE -1 END AS vote FROM several s LEFT JOIN instance_clusters USING (subject) WHERE n > 1"),
     "winners": (lambda s, f: ctx(s, f).winners, f"{LINK_SQL} SELECT doc_id, component, subject FROM winners"),
     "remove_losers": (lambda s, f: ctx(s, f).resolved, f"{LINK_SQL} SELECT * FROM resolved"),
@@ -292,14 +313,14 @@ QUERIES = {
     "rate_position": (rate("position"), f"{RATE_SQL} SELECT * FROM r_position"),
     "rate_tf": (rate("frequency"), f"{RATE_SQL} SELECT doc_id, subject, round(value, 9) AS value FROM r_frequency"),
     "rate_idf": (rate("rarity"), f"{RATE_SQL} SELECT doc_id, subject, round(value, 9) AS value FROM r_rarity"),
-    "rate_pagerank": (rate_links("pagerank"), None),
-    "rate_hub": (rate_links("hub"), None),
-    "rate_authority": (rate_links("authority"), None),
-    "rate_random": (lambda s, f: rating.at_random(ctx(s, f).instances), None),
+    "rate_pagerank": (rate_links("pagerank"), f"{RANK_SQL} {_LINK_RATES.format(score='pagerank')}"),
+    "rate_hub": (rate_links("hub"), f"{RANK_SQL} {_LINK_RATES.format(score='hub')}"),
+    "rate_authority": (rate_links("authority"), f"{RANK_SQL} {_LINK_RATES.format(score='authority')}"),
+    "rate_random": (lambda s, f: rating.at_random(ctx(s, f).instances), f"{SPOT_SQL} SELECT doc_id, subject, {_DRAWN} / 268435456 AS value FROM (SELECT DISTINCT doc_id, subject FROM inst)"),
     "rate_normalize": (rate_normalize, f"{RATE_SQL} SELECT doc_id, metric, subject, round(value, 6) AS value FROM normal"),
     "rate_fuse_product": (fuse("product"), f"{RATE_SQL} {_FUSED['product']}"),
     "rate_fuse_belief": (fuse("belief"), f"{RATE_SQL} {_FUSED['belief']}"),
-    "rate_all_fusions": (rate_all_fusions, None),
+    "rate_all_fusions": (rate_all_fusions, f"{RATE_SQL} {_FUSIONS}"),
     "inverted_index": (lambda s, f: rating.inverted_index(ctx(s, f).docs), "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS term FROM documents) GROUP BY 1, 2"),
     "ranked_list": (ranked_list, f"{RATE_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, subject))::INTEGER AS rank, uri FROM r_position JOIN res_dict ON index = subject"),
     "quads": (quads, f"{LINK_SQL} SELECT DISTINCT doc_id, 'recognized' AS g, s.uri AS s, p.uri AS p, '\"' || surface || '\"@en' AS o FROM resolved JOIN res_dict s ON s.index = subject JOIN res_dict p ON p.index = property UNION SELECT doc_id, 'recognized', s.uri, (SELECT uri FROM res_dict WHERE index = (SELECT index FROM rdf_type)), o.uri FROM resolved JOIN types USING (subject) JOIN res_dict s ON s.index = subject JOIN res_dict o ON o.index = type UNION SELECT doc_id, 'known', s.uri, p.uri, o.uri FROM facts JOIN res_dict s ON s.index = subject JOIN res_dict p ON p.index = predicate JOIN res_dict o ON o.index = object UNION SELECT doc_id, 'predicted', s.uri, p.uri, o.uri FROM predicted JOIN res_dict s ON s.index = subject JOIN res_dict p ON p.index = predicate JOIN res_dict o ON o.index = object"),
@@ -309,7 +330,10 @@ QUERIES = {
     "linked_json": (linked_json, None),
     "average_precision": (average_precision, f"{RATE_SQL}, truth AS {_TRUTH} SELECT doc_id, round(ap, 9) AS ap, round(precision, 9) AS precision, round(recall, 9) AS recall FROM ({_AP.format(source='r_position')})"),
     "mean_average_precision": (mean_average_precision, f"{RATE_SQL}, truth AS {_TRUTH} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg(ap), 9) AS mean FROM ({_AP.format(source='r_' + m)})" for m in ("position", "frequency", "rarity", "degree"))),
-    "prf_at_k": (prf_at_k, None),
+    "prf_at_k": (prf_at_k, f"{RATE_SQL}, truth AS {_TRUTH}, {_AT_K}"),
     "instance_pr": (instance_pr, f"{SPOT_SQL}, truth AS {_TRUTH}, found AS (SELECT DISTINCT doc_id, subject FROM inst) {_PR.format(found='found', truth='truth')}"),
     "disambiguation_pr": (disambiguation_pr, f"{LINK_SQL}, truth AS {_TRUTH}, ambiguous AS (SELECT doc_id, subject FROM candidates QUALIFY count(*) OVER (PARTITION BY doc_id, component) > 1), few AS (SELECT * FROM truth JOIN ambiguous USING (doc_id, subject)) {_PR.format(found='winners', truth='few')}"),
 }
+
+_TERM = "CASE WHEN starts_with({c}, '\"') THEN {c} ELSE '<' || {c} || '>' END"
+QUERIES["trig_lines"] = (QUERIES["trig_lines"][0], f"SELECT {_TERM.format(c='s')} || ' ' || {_TERM.format(c='p')} || ' ' || {_TERM.format(c='o')} || ' <doc:' || doc_id || '#' || g || '> .' AS line FROM ({QUERIES['quads'][1]})")

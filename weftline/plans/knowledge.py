@@ -211,7 +211,7 @@ QUERIES = {
     "datatype_props_of_cluster": (datatype_props_of_cluster, sql(f", {_COVERAGE_SQL} SELECT cluster, property FROM rated WHERE coverage / ambiguity > 0.5").replace("\n, ", ",\n")),
     "connecting_clusters": (connecting_clusters, sql("SELECT predicate, subject, object FROM markov_chain WHERE probability > 0.1")),
     "literal_candidates": (literal_candidates, sql(f"{_CANDIDATES} WHERE prefix IN (SELECT {literal_hash_sql('w')} FROM (VALUES ('re'), ('gree'), ('bran'), ('asia'), ('euro')) v(w))")),
-    "literal_candidates_filtered": (literal_candidates_filtered, sql(f"{_CANDIDATES} WHERE prefix % 3 = 0 AND predicate IN (SELECT index FROM res_dict WHERE uri IN ('{BASE}brand', '{BASE}title'))")),
+    "literal_candidates_filtered": (literal_candidates_filtered, sql(f"{_CANDIDATES} WHERE predicate IN (SELECT index FROM res_dict WHERE uri IN ('{BASE}brand', '{BASE}title'))")),
     "instance_candidates": (instance_candidates, sql(f"SELECT DISTINCT subject, predicate, object, uri FROM symbols JOIN res_dict ON index = subject WHERE predicate IN (SELECT index FROM res_dict WHERE uri IN ('{BASE}title', '{BASE}alias'))")),
     "db_sort": (db_sort, sql("SELECT substr(literal, 1, 8) AS cut, index FROM lit_dict")),
     "markov_chain": (lambda s, f: kb(s, f).markov_chain(100), sql("SELECT * FROM markov_chain")),
