@@ -187,14 +187,48 @@ def test_pii_consistency(spark, clashing, empty, rows):
     assert pii.pseudonymize(empty, b"key").collect() == []
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_pii_people(spark, monkeypatch, broadcast):
+    """One person keeps one name at every mention in every document; no mention stays in clear."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
+    texts = [
+        "Dr. Alex Smith spoke. Mr. Alex Smith left. Later Smith left, too; ALEX stayed.",
+        "Mr. James Smith; James left; JAMES SMITH came back. A smith is no Smith.",
+        "Priya Raman met Wei Zhang. Zhang said that Raman knew.",
+        "Mrs. Robin Hale and Robin. Contact: Tomas Novak <t@x.org>. MR. JAMES HALE",
+        "The New York Times met in March. Smith without a title stays.",
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs, b"key").collect()}
+    one = re.fullmatch(r"Dr\. (\w+) (\w+) spoke\. Mr\. (\w+) (\w+) left\. Later (\w+) left, too; (\w+) stayed\.", out[0])
+    assert one[1] == one[3] == one[6].capitalize() != "Alex" and one[2] == one[4] == one[5] != "Smith" and one[6].isupper()
+    assert one[1].lower() == pii.surrogate(b"key", "given latin", "alex", gender="m")
+    two = re.fullmatch(r"Mr\. (\w+) (\w+); (\w+) left; ([A-Z]+) ([A-Z]+) came back\. A smith is no (\w+)\.", out[1])
+    assert two[1] == two[3] == two[4].capitalize() != "James" and two[2] == two[5].capitalize() == two[6] == one[2]
+    three = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+)\. (\w+) said that (\w+) knew\.", out[2])
+    assert three[4] == three[5] and three[2] == three[6] and not {*three.groups()} & {"Priya", "Raman", "Wei", "Zhang"} and len({*three.groups()}) == 4
+    four = re.fullmatch(r"Mrs\. (\w+) (\w+) and (\w+)\. Contact: (\w+) (\w+) <\S+>\. MR\. ([A-Z]+) ([A-Z]+)", out[3])
+    assert four[1] == four[3] != "Robin" and four[2] == four[7].capitalize() and four[6].capitalize() == two[1] and four[5] != "Novak"
+    assert four[1].lower() == pii.surrogate(b"key", "given latin", "robin", gender="f")
+    assert out[4] == texts[4]
+
+
+def test_pii_never_runs_out():
+    """Beyond some nonce surrogates grow, so no two of a long row of draws are equal for ever."""
+    for kind, value in (("ip", "1.2.3.4"), ("mac", "001122334455"), ("ssn", "123456789"), ("given latin", "al"), ("email", "a@b.org"), ("secret", "abcdefgh"), ("iban", "GB82WEST12345698765432")):
+        drawn = [pii.surrogate(b"k", kind, value, n) for n in range(pii.LONGER, pii.LONGER + 40)]
+        assert len(set(drawn)) == 40 and value not in drawn
+    assert pii.render("ssn", "123-45-6789", "9876543210") == "987-65-43210"
+
+
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_pii_collisions(spark, monkeypatch, broadcast):
     """With few surrogates nearly all collide at first; all end distinct, and none is a real value."""
     monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
     real = [f"1.2.3.{i}" for i in range(1, 10)] + [f"9.{i}.1.1" for i in range(1, 10)]
     plain = pii.surrogate
-    squeezed = lambda key, kind, value, nonce=0: plain(key, kind, value, nonce) if nonce > 2 else "5.5.5.5"
-    found = spark.createDataFrame([("ip", v) for v in real], "kind string, value string")
+    squeezed = lambda key, kind, value, nonce=0, gender=None: plain(key, kind, value, nonce) if nonce > 2 else "5.5.5.5"
+    found = spark.createDataFrame([("ip", v, None) for v in real], "kind string, value string, gender string")
     monkeypatch.setattr(pii, "surrogate", squeezed)
     try:
         rows = pii.assign(found, b"k").collect()

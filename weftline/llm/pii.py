@@ -1,9 +1,14 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
 Detection finds e-mail addresses, secrets, IBANs, card and account numbers, social security numbers, phone numbers, IPv4
-and MAC addresses and person names. A mention has a kind and a canonical value, so that spellings of one entity corefer:
-letter case and separators do not count, nor does a phone's country code; given names and surnames are entities of
-their own, so "Dr. Smith" and "Mary Smith" share a surname.
+and MAC addresses and person names. Names are found by titles, by known given names, by what is said around them (``my
+name is``, ``met``, an address behind them), and, once some mention shows that a word is a name in a document, at every
+other place of that word in it, in capitals too.
+
+A mention has a kind and a canonical value, so that spellings of one entity corefer: letter case and separators do not
+count, nor does a phone's country code; given names and surnames are entities of their own, so "Dr. Smith", "Mary Smith"
+and a later "Smith" share a surname. Gender is a property of a given name and no part of its identity: it comes from the
+name, if known, else from the titles that stand before it anywhere in the table, if they agree.
 
 A surrogate is drawn from HMAC-SHA256 under a secret key, the kind, the canonical value and a nonce, in the format of the
 value: digits for digits, letters of the same case and script for letters, octets of the same width, the same Luhn or
@@ -11,9 +16,10 @@ IBAN check status, given names of the same gender and script. It is put into the
 and separators.
 
 Collision checks run over the distinct entities of the whole table: no two entities of a kind may share a surrogate and
-no surrogate may be a value that really occurs. Whoever fails is drawn again with the next nonce. So surrogates keep
-entities apart and the same entity gets the same surrogate in all documents. Only entities with a nonce above 0 need
-to be looked up when texts are rewritten; all others are computed on the spot.
+no surrogate may be a value that really occurs. Whoever fails is drawn again with the next nonce; from ``LONGER`` on
+surrogates grow with the nonce, so a format with few values never runs out. So surrogates keep entities apart and the
+same entity gets the same surrogate in all documents. Only entities with a nonce above 0, or with a gender that the name
+alone does not show, need to be looked up when texts are rewritten; all others are computed on the spot.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from weftline.llm.common import map_batches, prepare
 from weftline.session import materialize
 
-ROUNDS = 64
+#: From this nonce on surrogates have more characters than their values.
+LONGER = 32
 #: More redrawn entities than that are joined to their documents rather than broadcast.
 BROADCAST_ROWS = 100_000
 _KEPT = 100_000
@@ -42,8 +49,9 @@ MALE_NAMES = "James John Robert Michael William David Richard Thomas Charles Pet
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Angela Ursula Sabine Heike Monika Marie Françoise Isabelle María Carmen Ana Анна Ольга Елена Наталья".split()
 
 _NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?"
-_TITLES = "|".join(map(re.escape, [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]))
-_NAMES = "|".join(map(re.escape, [*MALE_NAMES, *FEMALE_NAMES]))
+_either = lambda words: "|".join(map(re.escape, [*words, *(w.upper() for w in words)]))
+_TITLES = _either([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
+_NAMES = _either([*MALE_NAMES, *FEMALE_NAMES])
 EMAIL = re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,24}")
 SECRET = re.compile(r"(?:token|secret|passwd|password|api[ _-]?key|access[ _-]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{8,})", re.IGNORECASE)
 BARE_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])")
@@ -55,11 +63,25 @@ IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 MAC = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])")
 TITLED = re.compile(rf"\b({_TITLES})\b\.?[ ]({_NAME}(?: {_NAME}){{0,2}})")
 NAMED = re.compile(rf"\b({_NAMES}) ({_NAME})")
+_FULL = rf"{_NAME}(?: {_NAME}){{1,2}}"
+#: Full names by what is said around them, in the languages of the titles.
+CUED = [
+    re.compile(rf"\b(?:[Mm]y name is|[Nn]ame *:|[Cc]ontact *:|[Ss]igned,?|[Ss]incerely,|[Rr]egards,|[Dd]ear|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут)\s+({_FULL})"),
+    re.compile(rf"\b({_FULL}) (?:met|said|says|wrote|writes|told|asked|called|visited|married|phoned|e-?mailed)\b"),
+    re.compile(rf"\b(?:met|told|asked|visited|married|phoned|e-?mailed) ({_FULL})"),
+    re.compile(rf"\b({_FULL}),? ?[<(](?=[\w.%+\-]+@)"),
+]
+#: Quick test for texts that may have such a place.
+_CUE = re.compile(r"name|Name|ontact|igned|incerely|egards|ear |heiße|appelle|nom |llamo|nombre|зовут|\b(?:met|said|says|wrote|writes|told|asked|called|visited|married|phoned|e-?mailed)\b|@")
+# Capitalised words that are no part of a name.
+NOT_NAMES = frozenset("The This That These Those A An And But Or If In On At To For From With By Of It He She They We You I My Your Our His Her Their Is Are Was Were Be When Where What Who Why How All Some Many New Dear Mr Mrs Ms Miss Dr Prof Sir Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split())
 
 
 # What a text must have for the patterns above to be tried; most texts have none of it.
 _DIGIT, _CAPITAL = re.compile(r"\d"), re.compile(r"[A-ZÀ-ÖØ-ÞЀ-ӿ]\w+")
-_PEOPLE = frozenset([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])
+_PEOPLE = frozenset(w for words in (MALE_TITLES, FEMALE_TITLES, OTHER_TITLES, MALE_NAMES, FEMALE_NAMES) for x in words for w in (x, x.upper()))
+_GENDER = {w.lower(): g for g, words in (("m", MALE_NAMES), ("f", FEMALE_NAMES)) for w in words}
+_TITLE_GENDER = {w.lower(): g for g, words in (("m", MALE_TITLES), ("f", FEMALE_TITLES)) for w in words}
 
 
 def luhn(digits: str) -> bool:
@@ -82,9 +104,11 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value) of all mentions, in order, without overlaps; the kinds tried first win."""
+def scan(text: str) -> tuple[list[tuple[int, int, str, str]], set[tuple[str, str, str]]]:
+    """(start, end, kind, canonical value) of all mentions, in order, without overlaps; the kinds tried first win. And
+    what titles say: (kind, value, gender)."""
     taken: list[tuple[int, int, str, str]] = []
+    said: set[tuple[str, str, str]] = set()
 
     def add(start: int, end: int, kind: str, value: str) -> None:
         if all(end <= s or start >= e for s, e, _, _ in taken):
@@ -105,9 +129,14 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             add(*m.span(), "mac", re.sub("[:-]", "", m[0]).lower())
     if digit:
         _numbers(text, add)
-    if not _PEOPLE.isdisjoint(_CAPITAL.findall(text)):
-        _people(text, add)
-    return sorted(taken)
+    capitals = _CAPITAL.findall(text)
+    if not _PEOPLE.isdisjoint(capitals) or capitals and _CUE.search(text):
+        _people(text, add, said)
+    return sorted(taken), said
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str]]:
+    return scan(text)[0]
 
 
 def _numbers(text: str, add) -> None:
@@ -128,17 +157,38 @@ def _numbers(text: str, add) -> None:
             add(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
 
 
-def _people(text: str, add) -> None:
+def _people(text: str, add, said: set) -> None:
+    """Full names first; then every other place of their parts in the text."""
+    parts: dict[str, str] = {}
+
+    def name(words: list[str], at: int, gender: str = "n") -> None:
+        for i, word in enumerate(words):
+            last = i == len(words) - 1
+            value = word.lower()
+            kind = parts.setdefault(value, f"{'surname' if last else 'given'} {script(word)}")
+            add(at, at + len(word), kind, value)
+            if not last and gender != "n" and kind.startswith("given"):
+                said.add((kind, value, gender))
+            at += len(word) + 1
+
     for m in TITLED.finditer(text):
-        gender = "m" if m[1] in MALE_TITLES else "f" if m[1] in FEMALE_TITLES else "n"
-        parts, at = m[2].split(" "), m.start(2)
-        for i, part in enumerate(parts):
-            known = "m" if part in MALE_NAMES else "f" if part in FEMALE_NAMES else gender
-            add(at, at + len(part), "surname " + script(part) if i == len(parts) - 1 else f"given {known} {script(part)}", part.lower())
-            at += len(part) + 1
+        words = m[2].split(" ")
+        while len(words) > 1 and words[-1].title() in NOT_NAMES:
+            words.pop()
+        if words[0].title() not in NOT_NAMES:
+            name(words, m.start(2), _TITLE_GENDER.get(m[1].lower(), "n"))
     for m in NAMED.finditer(text):
-        add(*m.span(1), f"given {'m' if m[1] in MALE_NAMES else 'f'} {script(m[1])}", m[1].lower())
-        add(*m.span(2), "surname " + script(m[2]), m[2].lower())
+        if m[2].title() not in NOT_NAMES:
+            name([m[1], m[2]], m.start())
+    for pattern in CUED:
+        for m in pattern.finditer(text):
+            words = m[1].split(" ")
+            if not any(w.title() in NOT_NAMES for w in words):
+                name(words, m.start(1))
+    if parts:
+        spellings = sorted({y for x in parts for y in (x.upper(), "-".join(w[:1].upper() + w[1:] for w in x.split("-")), x[:1].upper() + x[1:])}, key=len, reverse=True)
+        for m in re.finditer(rf"(?<![\w@.])(?:{'|'.join(map(re.escape, spellings))})(?![\w@])", text):
+            add(*m.span(), parts[m[0].lower()], m[0].lower())
 
 
 class Stream:
@@ -184,10 +234,12 @@ _SYLLABLES = {"latin": ("b br c d dr f g gr h j k l m n p r s st t v w".split(),
 _ENDINGS = {("m", "latin"): ["rt", "n", "s", "rd", "l"], ("f", "latin"): ["na", "ra", "lia", "tte", "sa"], ("n", "latin"): ["ne", "ry", "le"], ("s", "latin"): ["rson", "ner", "lby", "mont", "ley"], ("m", "cyrillic"): ["н", "р", "м"], ("f", "cyrillic"): ["на", "ра", "ля"], ("n", "cyrillic"): ["ня", "ша"], ("s", "cyrillic"): ["енко", "нин", "рук"]}
 
 
-def surrogate(key: bytes, kind: str, value: str, nonce: int = 0) -> str:
-    """The surrogate of a canonical value, itself canonical."""
+def surrogate(key: bytes, kind: str, value: str, nonce: int = 0, gender: str | None = None) -> str:
+    """The surrogate of a canonical value, itself canonical. ``gender`` (m, f, n) of a given name: by the name if not given."""
     stream = Stream(key, kind, value, str(nonce))
     first = kind.split(" ")[0]
+    if nonce >= LONGER:
+        return longer(stream, key, kind, value, nonce, gender)
     if first == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
@@ -214,27 +266,41 @@ def surrogate(key: bytes, kind: str, value: str, nonce: int = 0) -> str:
         ranges = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         octets = []
         for octet in value.split("."):
-            low, high = ranges[len(octet)] if nonce < ROUNDS // 2 else (1, 254)
+            low, high = ranges[len(octet)] if nonce < LONGER // 2 else (1, 254)
             octets.append(str(low + stream.below(high - low + 1)))
         return ".".join(octets)
     if first in ("given", "surname"):
-        gender, writing = (kind.split(" ")[1], kind.split(" ")[2]) if first == "given" else ("s", kind.split(" ")[1])
+        gender, writing = (gender or _GENDER.get(value, "n")) if first == "given" else "s", kind.split(" ")[1]
         consonants, vowels = _SYLLABLES[writing]
         stem = "".join(stream.pick(consonants) + stream.pick(vowels) for _ in range(2 + stream.below(2) + nonce // 4))
         return stem + stream.pick(_ENDINGS[gender, writing])
     return alike(stream, value)
 
 
+def longer(stream: Stream, key: bytes, kind: str, value: str, nonce: int, gender: str | None) -> str:
+    """A surrogate with a tail that grows with the nonce: hexadecimal groups of a documentation network for addresses,
+    digits for numbers, else letters."""
+    first, size = kind.split(" ")[0], nonce - LONGER + 4
+    if first == "ip":
+        return "2001:db8:" + ":".join("".join(stream.pick("0123456789abcdef") for _ in range(4)) for _ in range(min(6, size // 4))) + ":" * (size < 24)
+    base = surrogate(key, kind, value, nonce % LONGER, gender)
+    tail = "".join(stream.pick("0123456789" if value[-1:].isdigit() or first == "mac" else _CYRILLIC if script(value) == "cyrillic" else _LOWER) for _ in range(size))
+    if first == "email":
+        local, _, domain = base.partition("@")
+        return f"{local}{tail}@{domain}"
+    return base + tail
+
+
 def render(kind: str, mention: str, value: str) -> str:
-    """A canonical surrogate in the mention's own case and separators."""
+    """A canonical surrogate in the mention's own case and separators; what is longer than the mention goes to its end."""
     first = kind.split(" ")[0]
     if first in ("card", "account", "ssn", "phone", "iban", "mac"):
-        plain = value
         places = [i for i, c in enumerate(mention) if c.isalnum()]
-        out = list(mention)
+        out, tail = list(mention), value[len(places) :]
+        plain = value[: len(places)]
         for i, c in zip(places[len(places) - len(plain) :], plain):
             out[i] = c.upper() if first == "mac" and mention.isupper() else c
-        return "".join(out)
+        return "".join(out) + tail
     if first in ("given", "surname"):
         return value.upper() if mention.isupper() and len(mention) > 1 else value[:1].upper() + value[1:]
     if first == "email":
@@ -243,66 +309,76 @@ def render(kind: str, mention: str, value: str) -> str:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """kind, value: the distinct entities of all texts."""
+    """kind, value, gender: the distinct entities of all texts; gender (m, f, n) of given names, else null."""
 
     def make():
-        seen: set[tuple[str, str]] = set()
+        seen: set[tuple] = set()
 
         def step(columns):
             if columns is None:
                 return
-            new = {m[2:] for text in columns["text"] if text for m in mentions(text)} - seen
+            new = set()
+            for text in columns["text"]:
+                if text:
+                    found, said = scan(text)
+                    new |= {(*m[2:], "") for m in found} | said
+            new -= seen
             if len(seen) > _KEPT:
                 seen.clear()
             seen.update(new)
             if new:
-                yield {name: list(x) for name, x in zip(("kind", "value"), zip(*new))}
+                yield {name: list(x) for name, x in zip(("kind", "value", "said"), zip(*new))}
 
         return step
 
-    return map_batches(docs.select("text"), "kind string, value string", make).distinct()
+    found = map_batches(docs.select("text"), "kind string, value string, said string", make).groupBy("kind", "value").agg(*[F.max((F.col("said") == g).cast("int")).alias(g) for g in "mf"])
+    by_name = F
+    for gender, words in (("m", MALE_NAMES), ("f", FEMALE_NAMES)):
+        by_name = by_name.when(F.col("value").isin(*[w.lower() for w in words]), gender)
+    told = F.when((F.col("m") == 1) & (F.col("f") == 0), "m").when((F.col("f") == 1) & (F.col("m") == 0), "f").otherwise("n")
+    return found.select("kind", "value", F.when(F.col("kind").startswith("given"), F.coalesce(by_name, told)).alias("gender"))
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, nonce, sub: a surrogate for each entity, distinct within its kind and not an entity itself."""
+    """kind, value, gender, nonce, sub: a surrogate for each entity, distinct within its kind and not an entity itself."""
 
     def make():
         def step(columns):
             if columns is not None:
-                yield {**columns, "sub": [surrogate(key, k, v, n) for k, v, n in zip(columns["kind"], columns["value"], columns["nonce"])]}
+                yield {**columns, "sub": [surrogate(key, k, v, n, g) for k, v, n, g in zip(columns["kind"], columns["value"], columns["nonce"], columns["gender"])]}
 
         return step
 
     found = materialize(found)
     real = found.select("kind", F.col("value").alias("sub"), F.lit(True).alias("real"))
-    pending, done = found.withColumn("nonce", F.lit(0)), []
-    for _ in range(ROUNDS):
-        drawn = materialize(map_batches(pending, "kind string, value string, nonce int, sub string", make))
+    pending, done = found.select("kind", "value", "gender", F.lit(0).alias("nonce")), []
+    while True:
+        drawn = materialize(map_batches(pending, "kind string, value string, gender string, nonce int, sub string", make))
         first = drawn.groupBy("kind", "sub").agg(F.min("value").alias("first"))
-        marked = drawn.join(first, ["kind", "sub"]).join(real, ["kind", "sub"], "left")
+        marked = drawn.join(first.hint("merge"), ["kind", "sub"]).join(real.hint("merge"), ["kind", "sub"], "left")
         if done:
             before = reduce(DataFrame.union, done).select("kind", "sub", F.lit(True).alias("before"))
-            marked = marked.join(before, ["kind", "sub"], "left")
+            marked = marked.join(before.hint("merge"), ["kind", "sub"], "left")
         else:
             marked = marked.withColumn("before", F.lit(None).cast("boolean"))
         good = (F.col("value") == F.col("first")) & F.col("real").isNull() & F.col("before").isNull()
-        marked = materialize(marked.withColumn("good", good).select("kind", "value", "nonce", "sub", "good"))
-        done.append(marked.where("good").select("kind", "value", "nonce", "sub"))
-        pending = marked.where("not good").select("kind", "value", (F.col("nonce") + 1).alias("nonce"))
+        marked = materialize(marked.withColumn("good", good).select("kind", "value", "gender", "nonce", "sub", "good"))
+        done.append(marked.where("good").select("kind", "value", "gender", "nonce", "sub"))
+        pending = marked.where("not good").select("kind", "value", "gender", (F.col("nonce") + 1).alias("nonce"))
         if not pending.take(1):
             return reduce(DataFrame.union, done)
-    raise ValueError("some kind of entity has too few surrogates")
 
 
-def rewrite(text: str, key: bytes, nonces: dict[tuple[str, str], int], known: dict) -> tuple[str, list[str]]:
-    """The text with all mentions replaced, and their kinds."""
+def rewrite(text: str, key: bytes, special: dict[tuple[str, str], tuple[int, str | None]], known: dict) -> tuple[str, list[str]]:
+    """The text with all mentions replaced, and their kinds. ``special``: nonce and gender of entities, where they are not
+    0 and what the name shows."""
     out, at, kinds = [], 0, []
     for start, end, kind, value in mentions(text):
         sub = known.get((kind, value))
         if sub is None:
             if len(known) > _KEPT:
                 known.clear()
-            sub = known[kind, value] = surrogate(key, kind, value, nonces.get((kind, value), 0))
+            sub = known[kind, value] = surrogate(key, kind, value, *special.get((kind, value), (0, None)))
         out += [text[at:start], render(kind, text[start:end], sub)]
         at = end
         kinds.append(kind.split(" ")[0])
@@ -317,15 +393,16 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    redrawn = assign(entities(docs), key).where("nonce > 0").select("kind", "value", "nonce")
+    by_name = F.coalesce(*[F.when(F.col("value").isin(*[w.lower() for w in words]), g) for g, words in (("m", MALE_NAMES), ("f", FEMALE_NAMES))], F.lit("n"))
+    redrawn = assign(entities(docs), key).where((F.col("nonce") > 0) | (F.col("gender") != by_name)).select("kind", "value", "nonce", "gender")
     redrawn = materialize(redrawn)
     few = redrawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    nonces = {(r["kind"], r["value"]): r["nonce"] for r in redrawn.collect()} if few else {}
+    nonces = {(r["kind"], r["value"]): (r["nonce"], r["gender"]) for r in redrawn.collect()} if few else {}
     shared = spark.sparkContext.broadcast(pickle.dumps(nonces))
     carried = [c for c in docs.columns if c not in ("text", "n_entities", "kinds")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)], F.col("text").alias("_text"))
-    own = "array<struct<kind string, value string, nonce int>>"
+    own = "array<struct<kind string, value string, nonce int, gender string>>"
     inner = inner.withColumn("_own", F.lit(None).cast(own)) if few else _with_nonces(inner, redrawn)
     schema = ", ".join([*(f"_c{i} {types[c]}" for i, c in enumerate(carried)), "_text string, _n long, _kinds string"])
 
@@ -338,7 +415,7 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
             texts, counts, kinds = [], [], []
             for text, more in zip(columns["_text"], columns["_own"]):
                 if more:
-                    new, found = rewrite(text, key, {(m["kind"], m["value"]): m["nonce"] for m in more}, {})
+                    new, found = rewrite(text, key, {(m["kind"], m["value"]): (m["nonce"], m["gender"]) for m in more}, {})
                 else:
                     new, found = rewrite(text, key, common, known) if text else (text, [])
                 texts.append(new)
@@ -367,5 +444,5 @@ def _with_nonces(inner: DataFrame, redrawn: DataFrame) -> DataFrame:
 
     named = inner.withColumn("name", F.sha2("_text", 256))
     found = map_batches(named.where("_text is not null").select("name", "_text"), "name string, kind string, value string", make).distinct()
-    own = found.join(redrawn, ["kind", "value"]).groupBy("name").agg(F.collect_list(F.struct("kind", "value", "nonce")).alias("_own"))
-    return named.join(own, "name", "left").drop("name")
+    own = found.join(redrawn.hint("merge"), ["kind", "value"]).groupBy("name").agg(F.collect_list(F.struct("kind", "value", "nonce", "gender")).alias("_own"))
+    return named.join(own.hint("merge"), "name", "left").drop("name")

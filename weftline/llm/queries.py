@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from weftline.session import table
 RANKS = os.environ.get("WEFTLINE_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = os.environ.get("WEFTLINE_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
-#: The secret of the surrogates; set your own.
-PII_KEY = os.environ.get("WEFTLINE_PII_KEY", "an example key").encode()
+#: The secret of the surrogates. Without a setting it is drawn anew for each process: nobody can compute the surrogates
+#: again, and they differ from run to run.
+PII_KEY = os.environ.get("WEFTLINE_PII_KEY", "").encode() or secrets.token_bytes(32)
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
