@@ -105,7 +105,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # descending ids as ascending keys; nulls last
     key = F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))
-    keys = docs.select(key.alias("key"))
+    keys = docs.select(key.alias("key"), F.xxhash64("text").alias("mark"))
     n = keys.count()
     buckets = max(1, min(n // BUCKET_ROWS, MOST_BUCKETS))
     bounds = sorted({int(x) for x in keys.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10 * buckets)).head()[0]}) if buckets > 1 else []
@@ -119,13 +119,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
         def step(columns):
             if columns is not None:
-                yield {"key": columns["key"], "bucket": np.searchsorted(own, np.array(columns["key"], dtype=np.int64), side="left")}
+                yield {**columns, "bucket": np.searchsorted(own, np.array(columns["key"], dtype=np.int64), side="left")}
 
         return step
 
-    firsts = map_batches(keys, "key long, bucket long", place).groupBy("bucket").agg(F.min("key").alias("key")).collect()
-    order = sorted((r["bucket"], r["key"]) for r in firsts)
-    # the bucket before each, for its first key; the first bucket's first row also follows the very last row
+    firsts = map_batches(keys, "key long, mark long, bucket long", place).groupBy("bucket").agg(F.min(F.struct("key", "mark")).alias("f")).collect()
+    order = sorted((r["bucket"], tuple(r["f"])) for r in firsts)
+    # the bucket before each, for its first row; the first bucket's first row also follows the very last row
     ahead = {k: order[i - 1][0] for i, (_, k) in enumerate(order)}
     lead = session.sparkContext.broadcast(ahead)
 
@@ -137,8 +137,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 return
             home = np.searchsorted(own, np.array(columns["key"], dtype=np.int64), side="left").tolist()
             out: dict[str, list] = {"bucket": [], "guest": [], "key": [], "doc_id": [], "text": []}
-            for bucket, k, doc, text in zip(home, columns["key"], columns["doc_id"], columns["text"]):
-                for where, guest in ((bucket, False), *(((before[k], True),) if k in before else ())):
+            for bucket, k, mark, doc, text in zip(home, columns["key"], columns["mark"], columns["doc_id"], columns["text"]):
+                for where, guest in ((bucket, False), *(((before[k, mark], True),) if (k, mark) in before else ())):
                     out["bucket"].append(where)
                     out["guest"].append(guest)
                     out["key"].append(k)
@@ -148,8 +148,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
         return step
 
-    dealt = map_batches(docs.select(key.alias("key"), "doc_id", "text"), "bucket long, guest boolean, key long, doc_id long, text string", deal)
-    spread = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", "key", F.xxhash64("text"), "text")
+    dealt = map_batches(docs.select(key.alias("key"), F.xxhash64("text").alias("mark"), "doc_id", "text"), "bucket long, guest boolean, key long, doc_id long, text string", deal)
+    # each bucket is a task of its own, of about BUCKET_ROWS rows
+    spread = dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", "key", F.xxhash64("text"), "text")
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def pairs():
