@@ -27,7 +27,7 @@ MIN_SHARE = 1e-5
 NEAR_BEST = 0.3
 HASHES = 3
 SLOTS = 1 << 21
-#: Characters of a text handled at a time.
+#: N-grams of a text handled at a time; those of a text do not depend on it.
 CHUNK = 200_000
 _KEPT = 2_000_000
 
@@ -45,16 +45,18 @@ _ASCII = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
 
 
 def ngrams(text: str | None):
-    """Arrays of hashes of the text's n-grams, a chunk at a time; none for a text without letters."""
-    for start in range(0, len(text or ""), CHUNK):
-        words = letters(text[start : start + CHUNK + 3])
-        if not words:
-            continue
-        codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        three = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+    """Arrays of hashes of the text's n-grams, a chunk of their places at a time; none for a text without letters."""
+    words = letters(text or "")
+    if not words:
+        return
+    words = f" {words} "
+    for start in range(0, len(words) - 2, CHUNK):
+        codes = np.frombuffer(words[start : start + CHUNK + 3].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        three = (codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])[:CHUNK]
         found = [mix64(three)]
         if len(codes) > 3:
-            found.append(mix64(mix64(three[:-1]) ^ codes[3:]))
+            four = codes[3:][:CHUNK]
+            found.append(mix64(mix64(three[: len(four)]) ^ four))
         yield np.concatenate(found)
 
 
@@ -142,9 +144,9 @@ def train(docs: DataFrame) -> Model:
     if not languages:
         return Model([], np.zeros(0, dtype=np.uint64), [], [])
     sizes = grams.sparkSession.createDataFrame(sorted(totals.items()), "lang string, total long")
-    shares = grams.join(F.broadcast(sizes), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"), "n")
+    shares = grams.join(F.broadcast(sizes), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
     best = shares.groupBy("gram").agg(F.max("share").alias("best")).where(F.col("best") >= MIN_SHARE)
-    kept = shares.where((F.col("share") >= MIN_SHARE) & (F.col("n") > 1)).join(best, "gram").where(F.col("share") >= NEAR_BEST * F.col("best"))
+    kept = shares.where(F.col("share") >= MIN_SHARE).join(best, "gram").where(F.col("share") >= NEAR_BEST * F.col("best"))
     rows = kept.select("gram", "lang").toArrow()  # at most 1 / MIN_SHARE rows for each language
     codes = rows.column("gram").to_numpy().view(np.uint64)
     names = np.array(rows.column("lang").to_pylist(), dtype=object)
