@@ -50,6 +50,52 @@ def test_junk_is_far_and_prose_is_kept(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(k for k, v in kept.items() if v)
 
 
+def test_verdicts_against_brute_force(spark):
+    """Both distances and the verdict of each document, by histograms over dictionaries."""
+    import unicodedata
+
+    texts = [(i, prose(i, 20 + 30 * i), "en" if i % 4 else "xx") for i in range(14)]
+    texts += [(50, " ".join(w.upper() for w in prose(3, 90).split()), "en"), (51, "#$% " * 80 + prose(4, 40), "en"), (52, "1234 5678 " * 60, None), (53, " ".join(f"q{i}z" for i in range(500)), "en"), (54, None, "en"), (55, prose(2, 300), None)]
+    kinds = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Lm": "other letter", "Lo": "other letter", "Nd": "digit", "Nl": "digit", "No": "digit", "Zs": "space", "Pd": "quote or hyphen", "Pi": "quote or hyphen", "Pf": "quote or hyphen"}
+
+    def kind(c):
+        k = unicodedata.category(c)
+        return "stop" if c in ".,;:!?" else "quote or hyphen" if c in "\"'" else "space" if c == "\t" else "line end" if c in "\n\r\v\f" else kinds.get(k) or ("mark" if k[0] == "M" else "symbol" if k[0] in "SP" else "other")
+
+    def words(text):
+        return Counter(x for w in WORD.findall(text or "") if (x := w.lower().strip(".,;:!?\"'()[]{}#*$%&|<>")))
+
+    def js(p, q):
+        if not sum(p.values()) or not sum(q.values()):
+            return float(bool(sum(p.values())) != bool(sum(q.values())))
+        p, q = ({k: n / sum(x.values()) for k, n in x.items()} for x in (p, q))
+        part = lambda a, b: sum(x * np.log2(2 * x / (x + b.get(k, 0))) for k, x in a.items() if x)
+        return np.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    classes, common = {}, {}
+    for _, text, lang in texts:
+        h = Counter(map(kind, text or ""))
+        if lang and text is not None and not base(text)[5] and h["symbol"] <= 0.01 * sum(h.values()) and h["upper"] <= 0.2 * sum(h.values()):
+            classes.setdefault(lang, Counter()).update(h)
+            common.setdefault(lang, Counter()).update(words(text))
+    references = {}
+    for lang, c in common.items():
+        top = dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON])
+        references[lang] = {**top, None: sum(c.values()) - sum(top.values())}
+    found = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame([(*t, "s", 0) for t in texts], SCHEMA)).collect()}
+    assert {r["kept"] for r in found.values()} == {True, False}
+    for d, text, _ in texts:
+        h, w = Counter(map(kind, text or "")), words(text)
+        chars = min(js(h, c) for c in classes.values()) if sum(h.values()) >= 200 else None
+        own = [({k: n for k, n in w.items() if k in ref} | {None: sum(n for k, n in w.items() if k not in ref)}, ref) for ref in references.values()]
+        told = min(js(x, ref) for x, ref in own) if sum(w.values()) >= 60 else None
+        limit = lambda size, steps: min(x for least, x in steps if size >= least)
+        far = (chars is not None and chars > limit(sum(h.values()), ((200, 0.3), (1200, 0.17)))) or (told is not None and told > limit(sum(w.values()), ((60, 0.6), (400, 0.5))))
+        r = found[d]
+        assert r["char_distance"] == (None if chars is None else pytest.approx(chars, abs=1e-9)) and r["word_distance"] == (None if told is None else pytest.approx(told, abs=1e-9))
+        assert r["kept"] == (not base(text)[5] and not far)
+
+
 def test_distance():
     assert quality_rules.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality_rules.distance(np.array([1.0, 1]), np.array([2.0, 2])) == 0
@@ -121,6 +167,46 @@ def test_language(spark, docs, clashing, empty, rows):
     assert language_id.identify(unlabelled).head()["lang_pred"] == "und"
 
 
+def test_language_against_sets(spark, monkeypatch):
+    """Predictions and scores against plain sets of n-grams of whole texts, with n-grams seen once, and with tiny chunks."""
+    texts = [(i, prose(i, 12) if i % 3 else prose(i, 12)[::-1].upper(), "la" if i % 3 else "al") for i in range(40)] + [(50, "unseen words entirely", None), (51, "Ünïcode straße", "de"), (52, prose(1, 400), None)]
+    docs = spark.createDataFrame([(*t, "s", 0) for t in texts], SCHEMA)
+
+    def grams(text):
+        w = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        w = f" {' '.join(w)} "
+        return [w[i : i + k] for k in (3, 4) for i in range(len(w) - k + 1)]
+
+    counts = {}
+    for d, text, lang in texts:
+        if lang and not language_id.held_out(d):
+            counts.setdefault(lang, Counter()).update(grams(text))
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = Counter()
+    for own in share.values():
+        for g, x in own.items():
+            best[g] = max(best[g], x)
+    known = {lang: {g for g, x in own.items() if x >= language_id.MIN_SHARE and x >= language_id.NEAR_BEST * best[g]} for lang, own in share.items()}
+    for chunk in (200_000, 7):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        arrays = list(language_id.ngrams(texts[0][1]))
+        assert sorted(np.concatenate(arrays).tolist()) == sorted(np.concatenate(list(language_id.ngrams(texts[0][1] + "!"))).tolist()) and sum(map(len, arrays)) == len(grams(texts[0][1]))
+    for r in language_id.identify(docs).collect():
+        text = next(t for d, t, _ in texts if d == r["doc_id"])
+        scores = {lang: sum(g in own for g in grams(text)) / len(grams(text)) for lang, own in known.items()}
+        assert r["score"] == pytest.approx(max(scores.values()), abs=2e-3)
+        assert scores[r["lang_pred"]] == pytest.approx(max(scores.values()), abs=2e-3)
+
+
+def test_language_tie(spark):
+    """Of languages with equal scores the one with more training n-grams holds, then the name that sorts first."""
+    rows = [(i, "same words here", lang, "s", 0) for i, lang in ((1, "b"), (3, "a"), (4, "c"), (6, "c"))]
+    rows = [r for r in rows if not language_id.held_out(r[0])]
+    found = language_id.identify(spark.createDataFrame([*rows, (100, "same words", None, "s", 0)], SCHEMA)).collect()
+    sizes = Counter(r[2] for r in rows)
+    assert {r["lang_pred"] for r in found} == {min(sizes, key=lambda x: (-sizes[x], x))}
+
+
 def test_bit_slices_answer_all_languages():
     grams = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     model = language_id.Model([f"l{i:02d}" for i in range(70)], grams, [np.isin(np.arange(1000), np.arange(i, 1000, 70)) for i in range(70)], [1] * 70)
@@ -146,6 +232,44 @@ def test_fingerprints(docs, clashing, empty, rows, monkeypatch, size):
     assert fingerprints.fingerprint_documents(empty).collect() == []
 
 
+def test_fingerprints_are_sums(spark):
+    """Fingerprints and both likenesses against sums of the paragraphs' hash vectors in plain numbers."""
+
+    def vectors(text):
+        lanes, signs = [0] * fingerprints.LANES, [0] * fingerprints.SIGNS
+        for line in text.split("\n"):
+            for p in re.split(r"(?<=[.!?|]) +", line) if len(line) > 200 else [line]:
+                if p:
+                    data = hashlib.shake_128(p.encode()).digest(2 * fingerprints.LANES + fingerprints.SIGNS // 8)
+                    for i in range(fingerprints.LANES):
+                        lanes[i] = (lanes[i] + int.from_bytes(data[2 * i : 2 * i + 2], "little")) % 65536
+                    for i in range(fingerprints.SIGNS):
+                        signs[i] += 1 if data[2 * fingerprints.LANES + i // 8] >> (7 - i % 8) & 1 else -1
+        return lanes, signs
+
+    def name(v):
+        return "".join(f"{x % 65536:04x}" for x in v[0] + v[1])
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        dot, size = sum(x * y for x, y in zip(a[1], b[1])), sum(x * x for x in a[1]) * sum(x * x for x in b[1])
+        return min(1.0, max(0.0, dot / size**0.5)) if size else 0.0
+
+    texts = ["one\ntwo\none", "two\none\none", "", "one", prose(1, 90), prose(1, 90) + "\nmore", "x\n" * 300]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, t, "en", "s", 0) for t in ("a", "b", None)], SCHEMA)
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect() if r["doc_id"] is not None}
+    for i, text in enumerate(texts):
+        r, own = found[i], vectors(text)
+        assert r["fingerprint"] == name(own)
+        if i:  # after the last come the rows without an id
+            other = texts[i - 1]
+            half = len(text) // 2
+            changed = vectors(text[: len(text) - half] + other[:half])
+            assert r["edited_fingerprint"] == name(changed)
+            assert (r["near_edited"], r["near_next"]) == pytest.approx((near(own, changed), near(own, vectors(other))))
+
+
 def test_fingerprint_algebra():
     a, b, c = "first line", "second line", "third"
     whole = fingerprints.Fingerprint.of("\n".join([a, b, c, a]))

@@ -183,3 +183,36 @@ def test_pack_holds_all(items):
         for x in pattern:
             got[x] += n
     assert got == Counter(items)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=5))
+def test_dominance_loses_no_sequence(counts):
+    """With lengths that occur several times, no more sequences than the best packing needs, as far as the reduction goes."""
+    from functools import lru_cache
+
+    items = tuple(sorted((x for x, n in counts.items() for _ in range(n)), reverse=True))[:9]
+
+    @lru_cache(None)
+    def fewest(left):
+        if not left:
+            return 0
+        first, rest, best = left[0], left[1:], len(left)
+        for mask in range(1 << len(rest)):
+            some = [x for i, x in enumerate(rest) if mask >> i & 1]
+            if first + sum(some) <= 12:
+                best = min(best, 1 + fewest(tuple(x for i, x in enumerate(rest) if not mask >> i & 1)))
+        return best
+
+    left = packing.Lengths(Counter(items))
+    fixed = 0
+    for length in reversed(list(left.order)):
+        while length in left.counts and (found := packing.dominating(left, 12, length)):
+            for x in found:
+                left.take(x, 1)
+            fixed += 1
+    rest = tuple(sorted((x for x, n in left.counts.items() for _ in range(n)), reverse=True))
+    assert fixed + fewest(rest) == fewest(items)
+    patterns = packing.pack(dict(Counter(items)), 12)
+    assert Counter(x for p, n in patterns for _ in range(n) for x in p) == Counter(items) and all(sum(p) <= 12 for p, _ in patterns)
+    assert sum(n for _, n in patterns) <= fewest(items) + 1
