@@ -397,6 +397,29 @@ def test_license_sentences_of_several_parts(spark):
     assert {r["doc_id"]: r["licenses"] for r in found} == {i: want for i, _, want in table}
 
 
+def test_license_variable_parts(spark):
+    """Holders' names, list marks, comment marks and addresses vary; versions do not; SQL gives the same."""
+    import duckdb
+
+    bsd = "Copyright (c) 2019, {w}. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n{three}\nTHIS SOFTWARE IS PROVIDED BY {w} ''AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    third = "3. Neither the name of {w} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    lesser = ". ".join(licenses.SENTENCES[k] for k in (34, 35, 36)) + "."
+    mit = ".\n".join(licenses.SENTENCES[i] for i in (9, 10, 11, 12)).replace("THE AUTHORS OR COPYRIGHT HOLDERS", "EXAMPLE CORP") + "."
+    table = [
+        (1, bsd.format(w="The Example Foundation", three=""), "BSD-2-Clause"), (2, bsd.format(w="Some Body", three=third.format(w="Some Body")), "BSD-3-Clause"),
+        (3, "\n".join(f" * {x}" for x in bsd.format(w="X", three=third.format(w="the University of Nowhere")).split("\n")), "BSD-3-Clause"),
+        (4, lesser, "LGPL-2.1-or-later"), (5, lesser.replace("2.1", "4.0"), ""), (6, mit, "MIT"), (7, "# SPDX-License-Identifier: EPL-2.0\n", "EPL-2.0"),
+        (8, licenses.SENTENCES[40].replace("http:", "https:") + "/.", "EPL-2.0"), (9, "SPDX-License-Identifier: EPL-1.0", ""),
+    ]
+    df = spark.createDataFrame([r[:2] for r in table], "doc_id long, text string")
+    found = licenses.scan(df).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {i: want for i, _, want in table}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r[:2]) for r in table])
+    assert Counter(map(tuple, found)) == Counter(con.execute(licenses.scan_sql()).fetchall())
+
+
 def brute_words(spark, texts, trusted):
     """log P of each text by the textbook recursion over words and their spelling, under the other half's model."""
     from weftline.llm import word_model

@@ -6,7 +6,7 @@ line ends as well (notices on a line of their own). Sentences are normalised (lo
 sentence that itself holds an end is the sequence of all its parts, one right after another. The ordered identifiers of
 a text are matched against the rules of each license: its identifiers in that order, one after another.
 
-``scan_sql`` still knows such a sentence by its first part only, so it differs from ``scan`` on texts with one.
+Sentences have variable parts, such as the holders' names: before the cut ``VARIABLES`` puts fixed words in their place.
 """
 
 from __future__ import annotations
@@ -50,25 +50,61 @@ SENTENCES = {
     31: "SPDX-License-Identifier: GPL-3.0-or-later",
     32: "SPDX-License-Identifier: BSD-3-Clause",
     33: "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    34: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    35: "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    36: "See the GNU Lesser General Public License for more details",
+    37: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    38: "See the GNU Affero General Public License for more details",
+    39: "Distributed under the Boost Software License, Version 1.0",
+    40: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    41: "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    42: 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    43: "SPDX-License-Identifier: AGPL-3.0-or-later",
+    44: "SPDX-License-Identifier: BSD-2-Clause",
+    45: "SPDX-License-Identifier: BSL-1.0",
+    46: "SPDX-License-Identifier: CC-BY-4.0",
+    47: "SPDX-License-Identifier: CC-BY-SA-4.0",
+    48: "SPDX-License-Identifier: CC0-1.0",
+    49: "SPDX-License-Identifier: EPL-2.0",
+    50: "SPDX-License-Identifier: GPL-2.0-only",
+    51: "SPDX-License-Identifier: GPL-2.0-or-later",
+    52: "SPDX-License-Identifier: GPL-3.0-only",
+    53: "SPDX-License-Identifier: ISC",
+    54: "SPDX-License-Identifier: LGPL-2.1-or-later",
+    55: "SPDX-License-Identifier: MPL-2.0",
+    56: "SPDX-License-Identifier: Unlicense",
 }
+# Variable parts of lower-cased texts, and the words that stand for them in the sentences above.
+VARIABLES = [
+    (r"neither the names? of [^.;]{1,200}? nor the names? of (?:its|their|any|other)[a-z ]{0,20}contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"in no event shall [^.;]{1,200}? be liable for any claim", "in no event shall the authors or copyright holders be liable for any claim"),
+    (r"this software is provided by [^.;]{1,200}? [\"'`]{0,2}as is[\"'`]{0,2} and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"https://", "http://"),
+]
 # Ordered rules, license to alternatives.
 RULES = {
     "Apache-2.0": [(1,), (2, 3), (2, 33), (30,)],
-    "BSD-2-Clause": [(22, 23, 24)],
+    "AGPL-3.0-or-later": [(37, 16, 38), (43,)],
+    "BSD-2-Clause": [(22, 23, 24, 42), (44,)],
     "BSD-3-Clause": [(22, 23, 24, 25), (32,)],
-    "CC-BY-4.0": [(19,), (21,)],
+    "BSL-1.0": [(39,), (45,)],
+    "CC-BY-4.0": [(19,), (21,), (46,)],
     "CC-BY-NC-4.0": [(18,)],
-    "CC-BY-SA-4.0": [(20,)],
-    "GPL-2.0-or-later": [(15, 16, 17)],
-    "GPL-3.0": [(13,)],
+    "CC-BY-SA-4.0": [(20,), (47,)],
+    "CC0-1.0": [(41,), (48,)],
+    "EPL-2.0": [(40,), (49,)],
+    "GPL-2.0": [(50,)],
+    "GPL-2.0-or-later": [(15, 16, 17), (51,)],
+    "GPL-3.0": [(13,), (52,)],
     "GPL-3.0-or-later": [(14, 16, 17), (31,)],
-    "ISC": [(26,)],
+    "ISC": [(26,), (53,)],
+    "LGPL-2.1-or-later": [(34, 35, 36), (54,)],
     "MIT": [(7,), (8,), (9, 10, 11, 12), (29,)],
-    "MPL-2.0": [(27,)],
-    "Unlicense": [(28,)],
+    "MPL-2.0": [(27,), (55,)],
+    "Unlicense": [(28,), (56,)],
 }
 #: Some word of every known sentence; texts without any of them are not cut.
-HINT = "licen[sc]|warrant|permission|redistribut|public domain|liable|obtain a copy"
+HINT = "licen[sc]|warrant|permission|redistribut|public domain|liable|obtain a copy|neither the name"
 #: Ends of sentences: in wrapped text, and where each line end is one too. A stop within a number or name is no end.
 ENDS = {"wrapped": r"[.:;!?]+\s+|\n\s*\n", "lines": r"[.:;!?]+[ \t]+|\s*\n\s*"}
 
@@ -78,24 +114,22 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-def split_known() -> dict[str, int]:
-    """Normal forms to identifiers; a known sentence that itself holds an end counts by its first part."""
-    found = {}
-    for i, sentence in SENTENCES.items():
-        found.setdefault(normal(re.split(r"[.:;!?]+\s+", sentence)[0]), i)
-    return found
+def sequences() -> dict[int, list[str]]:
+    """The normal forms of all parts of each known sentence, in order."""
 
+    def fixed(sentence: str) -> str:
+        for pattern, words in VARIABLES:
+            sentence = re.sub(pattern, words, sentence)
+        return sentence
 
-def patterns() -> list[tuple[str, str]]:
-    """(license, identifiers between commas) of all rules; identifiers that share a normal form are one."""
-    known = split_known()
-    same = {i: known[normal(re.split(r"[.:;!?]+\s+", s)[0])] for i, s in SENTENCES.items()}
-    return [(name, "," + ",".join(str(same[i]) for i in rule) + ",") for name, rules in sorted(RULES.items()) for rule in rules]
+    return {i: [normal(part) for part in re.split(r"[.:;!?]+\s+", fixed(sentence.lower()))] for i, sentence in SENTENCES.items()}
 
 
-def sequences() -> dict[int, list[str]]:
-    """The normal forms of all parts of each known sentence, in order."""
-    return {i: [normal(part) for part in re.split(r"[.:;!?]+\s+", sentence)] for i, sentence in SENTENCES.items()}
+def marks() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Normal forms of parts to marks, and (marks of all parts, mark) of each sentence, those of most parts first."""
+    numbers: dict[str, int] = {}
+    whole = {i: "".join(f"<{numbers.setdefault(part, len(numbers) + 1)}>" for part in parts) for i, parts in sequences().items()}
+    return {"": "", **{p: f"<{k}>" for p, k in numbers.items()}}, [(mark, f"[{i}]") for i, mark in sorted(whole.items(), key=lambda x: -x[1].count("<"))]
 
 
 def rule_patterns() -> list[tuple[str, str]]:
@@ -109,13 +143,15 @@ def identifiers(text: Column, ends: str) -> Column:
     Parts are written as <number>, an unknown one as <0>, empty ones not at all; then sentences, those of most parts
     first, take the place of their parts.
     """
-    numbers: dict[str, int] = {}
-    marks = {i: "".join(f"<{numbers.setdefault(part, len(numbers) + 1)}>" for part in parts) for i, parts in sequences().items()}
-    known = F.create_map(*[F.lit(x) for part, k in [("", ""), *((p, f"<{k}>") for p, k in numbers.items())] for x in (part, k)])
-    cut = F.split(F.lower(text), ends)
+    parts, whole = marks()
+    known = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+    low = F.lower(text)
+    for pattern, words in VARIABLES:
+        low = F.regexp_replace(low, pattern, words)
+    cut = F.split(low, ends)
     found = F.array_join(F.transform(cut, lambda s: F.coalesce(F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), F.lit("<0>"))), "")
-    for i, mark in sorted(marks.items(), key=lambda x: -x[1].count("<")):
-        found = F.replace(found, F.lit(mark), F.lit(f"[{i}]"))
+    for mark, name in whole:
+        found = F.replace(found, F.lit(mark), F.lit(name))
     return F.concat(F.lit(","), F.array_join(F.regexp_extract_all(found, F.lit(r"\[([0-9]+)\]"), F.lit(1)), ","), F.lit(","))
 
 
@@ -140,10 +176,18 @@ def scan(docs: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The same in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = "MAP {" + ", ".join(f"{quote(k)}: {v}" for k, v in split_known().items()) + "}"
-    cut = {name: f"',' || array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), {quote(ends)}), lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL), ',') || ','" for name, ends in ENDS.items()}
+    parts, whole = marks()
+    known, low = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in parts.items()) + "}", "lower(text)"
+    for pattern, words in VARIABLES:
+        low = f"regexp_replace({low}, {quote(pattern)}, {quote(words)}, 'g')"
+    cut = {}
+    for name, ends in ENDS.items():
+        one = f"array_to_string(list_transform(regexp_split_to_array({low}, {quote(ends)}), lambda s: coalesce({known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))], '<0>')), '')"
+        for mark, number in whole:
+            one = f"replace({one}, '{mark}', '{number}')"
+        cut[name] = f"',' || array_to_string(regexp_extract_all({one}, '\\[([0-9]+)\\]', 1), ',') || ','"
     by_license: dict[str, list[str]] = {}
-    for name, pattern in patterns():
+    for name, pattern in rule_patterns():
         by_license.setdefault(name, []).extend(f"contains({c}, {quote(pattern)})" for c in ENDS)
     names = ", ".join(f"CASE WHEN {' OR '.join(hits)} THEN {quote(name)} END" for name, hits in by_license.items())
     columns = ", ".join(f"CASE WHEN regexp_matches(lower(text), {quote(HINT)}) THEN {cut[name]} ELSE ',,' END AS {name}" for name in ENDS)
