@@ -1,7 +1,10 @@
-"""Text expressions: markup blanking, tokens with offsets, sentences, word shapes, rule tags. All run inside the JVM."""
+"""Text expressions: markup blanking, sentences, word shapes, rule tags inside the JVM; tokens with offsets in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: One piece of text: a number with separators, a word (with inner apostrophes and full stops), white space, or one other character.
@@ -39,14 +42,50 @@ def offsets(parts: Column) -> Column:
     return F.slice(sums, F.lit(1), F.size(parts))
 
 
-def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, start, end, token: the pieces that are not white space, with their offsets.
+#: Rows of an Arrow batch that tokens and suffixes give at a time.
+_ROWS = 50_000
+
+
+def cut(docs: DataFrame, text: str, emit: Callable[[str, list[tuple[int, int]]], list[tuple]], columns: str) -> DataFrame:
+    """doc_id and the columns of ``emit``, for each text and the places (start, end) of its pieces: one pass over each text.
 
-    Offsets are a running sum over the pieces of one document, so nothing but one row for each piece is shuffled.
+    A running sum over pieces needs a shuffle in the JVM, or copies of a growing array; a scan has the places at hand.
     """
-    parts = docs.select("doc_id", F.posexplode(pieces(F.col(text))).alias("i", "token"))
-    end = F.sum(F.length("token")).over(W.partitionBy("doc_id").orderBy("i")).cast("int")
-    return parts.select("doc_id", (end - F.length("token")).alias("start"), end.alias("end"), "token").where(~F.col("token").rlike(r"^\s"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    from weftline.session import ship_package
+
+    ship_package(docs.sparkSession)
+    fields = StructType([docs.schema["doc_id"], *_parse_datatype_string(columns)])
+    arrow = to_arrow_schema(fields)
+    # white space as in the JVM, where it is ASCII
+    pattern = PIECE.replace(r"_\s]", r"_ \t\n\x0B\f\r]").replace(r"\s", r"[ \t\n\x0B\f\r]")
+
+    def run(batches):
+        import regex
+
+        find, held = regex.compile(pattern).finditer, []
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if content:
+                    held += [(doc, *row) for row in emit(content, [m.span() for m in find(content)])]
+                while len(held) >= _ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held[:_ROWS]), arrow)], schema=arrow)
+                    held = held[_ROWS:]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+
+    return docs.select("doc_id", text).mapInArrow(run, fields)
+
+
+def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, start, end, token: the pieces that are not white space, with their offsets."""
+
+    def emit(content, places):
+        return [(a, b, content[a:b]) for a, b in places if content[a] not in " \t\n\x0b\f\r"]
+
+    return cut(docs, text, emit, "start int, end int, token string")
 
 
 #: Ends of sentences: a stop, quotes or brackets after it, white space.

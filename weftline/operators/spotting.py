@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weftline.functions.text import offsets, pieces
+from weftline.functions.text import cut, offsets, pieces
 
 #: Longest suffix in characters.
 MAX_SUFFIX = 100
@@ -14,15 +14,15 @@ HEADS = (16, 8, 4, 3, 2, 1)
 
 
 def suffixes(docs: DataFrame, most_pieces: int) -> DataFrame:
-    """doc_id, start, suffix (at most ``most_pieces`` pieces, lower case) at every token that starts with a letter or digit.
+    """doc_id, start, first (length of the token), suffix (lower case, at most MAX_SUFFIX characters), surface (at most
+    ``most_pieces`` pieces) at every token that starts with a letter or digit. One pass over each text."""
 
-    Suffixes are sliced from the array of pieces before it is exploded: the text itself is not carried along.
-    """
-    parts = docs.select("doc_id", pieces(F.col("text")).alias("p")).withColumn("o", offsets(F.col("p")))
-    at = F.transform(F.col("p"), lambda x, i: F.struct(F.element_at(F.col("o"), i + 1).alias("start"), x.alias("token"), F.array_join(F.slice(F.col("p"), i + 1, F.lit(most_pieces)), "").alias("suffix")))
-    kept = F.filter(at, lambda s: s["token"].rlike(r"^[\p{L}\p{N}]"))
-    rows = parts.select("doc_id", F.explode(kept).alias("s"))
-    return rows.select("doc_id", F.col("s.start").alias("start"), F.length("s.token").alias("first"), F.lower(F.substring("s.suffix", 1, MAX_SUFFIX)).alias("suffix"), F.col("s.suffix").alias("surface"))
+    def emit(content, places):
+        ends = [b for _, b in places]
+        last = len(ends) - 1
+        return [(a, b - a, content[a : ends[min(i + most_pieces - 1, last)]]) for i, (a, b) in enumerate(places) if content[a].isalnum()]
+
+    return cut(docs, "text", emit, "start int, first int, surface string").select("doc_id", "start", "first", F.lower(F.substring("surface", 1, MAX_SUFFIX)).alias("suffix"), "surface")
 
 
 def literal_rows(literals: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -81,16 +81,17 @@ def bio(spans: DataFrame) -> DataFrame:
 def regex_entities(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """doc_id, regex, start, end, value of every match of every pattern.
 
-    Each pattern splits the text into matches and single steps between them; running lengths give the offsets.
+    A pattern's matches and the gaps between them alternate; their running lengths give the offsets. Only matches
+    become rows. Patterns must not match the empty string.
     """
     rows = None
     for name, pattern in patterns.items():
-        parts = F.regexp_extract_all(F.col("text"), F.lit(rf"(?:{pattern})|[\s\S]"), F.lit(0))
         # only texts with a match are cut
-        cut = docs.where(F.col("text").rlike(pattern)).select("doc_id", parts.alias("p"))
-        long = cut.select("doc_id", F.posexplode("p").alias("i", "value"))
-        end = F.sum(F.length("value")).over(W.partitionBy("doc_id").orderBy("i"))
-        one = long.withColumn("end", end.cast("int")).where(F.col("value").rlike(rf"^(?:{pattern})$")).select("doc_id", F.lit(name).alias("regex"), (F.col("end") - F.length("value")).alias("start"), "end", "value")
+        found = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.split("text", pattern).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("values"))
+        both = F.flatten(F.zip_with(F.slice("gaps", 1, F.size("values")), "values", lambda g, v: F.array(g, v)))
+        placed = found.select("doc_id", "values", offsets(both).alias("o"))
+        one = placed.select("doc_id", F.posexplode("values").alias("i", "value"), "o").select("doc_id", F.lit(name).alias("regex"), F.get("o", F.col("i") * 2 + 1).alias("start"), "value")
+        one = one.select("doc_id", "regex", "start", (F.col("start") + F.length("value")).alias("end"), "value")
         rows = one if rows is None else rows.unionAll(one)
     return rows
 
