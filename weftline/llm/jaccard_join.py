@@ -43,6 +43,8 @@ from weftline.session import materialize
 BLOCK_TOKENS, BLOCK_SETS = 500_000, 60_000
 #: Shards of tokens: one for about so many characters of text, between the bounds; a shard is held by one worker.
 SHARD_CHARS, LEAST_SHARDS, MOST_SHARDS = 8_000_000, 256, 1 << 18
+#: Characters of the texts whose blocks one task turns into prefixes, about, and the fewest tasks.
+TASK_CHARS, LEAST_TASKS = 100_000_000, 6
 #: Frequencies are kept by the first 48 bits of a token: tokens that fall together get one list, which only adds candidates.
 KEY_BITS = 48
 _WORDS = 16
@@ -217,7 +219,7 @@ def _frequencies(blocks: DataFrame, shards: int) -> DataFrame:
     return map_batches(dealt, "shard int, block long, first long, keys binary, x binary, y binary", make)
 
 
-def _prefixes(answers: DataFrame, t_num: int, shards: int) -> DataFrame:
+def _prefixes(answers: DataFrame, t_num: int, shards: int, tasks: int = LEAST_TASKS) -> DataFrame:
     """A row for each document: doc_id, mark, sid (null: no words), n. And a row for each token of a set's prefix that
     stands in several sets: token, sid, n, pos."""
     bits = shards.bit_length() - 1
@@ -279,8 +281,7 @@ def _prefixes(answers: DataFrame, t_num: int, shards: int) -> DataFrame:
 
         return step
 
-    parts = max(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 256)
-    dealt = answers.repartition(parts, "block").sortWithinPartitions("block")
+    dealt = answers.repartitionById(tasks, F.pmod(F.hash("block"), F.lit(tasks))).sortWithinPartitions("block")
     return map_batches(dealt, "doc_id long, mark long, sid binary, n long, token long, pos long", make)
 
 
@@ -399,7 +400,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shards = LEAST_SHARDS
     while shards < MOST_SHARDS and shards * SHARD_CHARS < chars:
         shards *= 2
-    both = materialize(_prefixes(_frequencies(_blocks(docs, size, shards), shards), percent, shards))
+    tasks = max(LEAST_TASKS, chars // TASK_CHARS)
+    both = materialize(_prefixes(_frequencies(_blocks(docs, size, shards), shards), percent, shards, tasks))
     rows = both.where("token is null").select("doc_id", "mark", "sid", "n")
     # equal sets of several blocks have equal rows
     lists = both.where("token is not null").groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
