@@ -43,6 +43,8 @@ CONTEXT_BITS, WORD_BITS = 27, 21
 BLOCK_WORDS, BLOCK_DOCS, SHARD_CHARS, MOST_SHARDS = 3_000_000, 60_000, 8_000_000, 1 << 16
 #: Sums that a worker keeps until it sends them (4 bytes each).
 KEPT_SUMS = 8_000_000
+#: Characters of the texts whose sums one task adds up, about, and the fewest tasks.
+TASK_CHARS, LEAST_TASKS = 100_000_000, 6
 #: Ids that pass the Bloom filter without the label: more than that are found by a join in place of a broadcast set.
 FEW_IDS = 100_000
 _BORDER = np.uint64(0x9E3779B97F4A7C15)
@@ -378,5 +380,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = map_batches(rows, _SCHEMA, deal)
     place = F.when(F.col("shard") < 0, F.col("block")).otherwise(F.col("shard"))
     dealt = sent.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions("shard", "kind")
-    back = map_batches(dealt, _SCHEMA, add).select("shard", "block", "x").repartition(parts, "block").sortWithinPartitions("block")
+    back = map_batches(dealt, _SCHEMA, add).select("shard", "block", "x")
+    tasks = max(LEAST_TASKS, chars // TASK_CHARS)
+    back = back.repartitionById(tasks, F.pmod(F.hash("block"), F.lit(tasks))).sortWithinPartitions("block")
     return map_batches(back, "doc_id long, lang string, _key long, trusted boolean, n_symbols long, total double", join)
