@@ -26,7 +26,7 @@ from weftline.llm.common import map_batches, prepare
 LANES, SIGNS, LONG = 64, 256, 200
 _SENTENCE = re.compile(r"(?<=[.!?|]) +")
 #: Rows between two boundaries of the order by doc_id, about.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 10_000
 #: Bounds what the driver holds of the order; buckets grow beyond it.
 MOST_BUCKETS = 100_000
 
