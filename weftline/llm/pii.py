@@ -71,8 +71,20 @@ CUED = [
     re.compile(rf"\b(?:met|told|asked|visited|married|phoned|e-?mailed) ({_FULL})"),
     re.compile(rf"\b({_FULL}),? ?[<(](?=[\w.%+\-]+@)"),
 ]
-#: Quick test for texts that may have such a place.
-_CUE = re.compile(r"name|Name|ontact|igned|incerely|egards|ear |heiße|appelle|nom |llamo|nombre|зовут|\b(?:met|said|says|wrote|writes|told|asked|called|visited|married|phoned|e-?mailed)\b|@")
+#: Quick tests for texts that may have a place for each of these patterns: some of these strings is in the text.
+_CUES = [
+    ("y name is", "ame:", "ame :", "ontact:", "ontact :", "igned", "incerely", "egards", "Dear ", "dear ", "ch heiße", "ame ist", "appelle", "nom est", "llamo", "nombre es", "зовут"),
+    (" met ", " said", " says", " wrote", " writes", " told", " asked", " called", " visited", " married", " phoned", "mailed"),
+    ("met ", "told ", "asked ", "visited ", "married ", "phoned ", "mailed "),
+    ("@",),
+]
+
+
+def cued(text: str) -> list[re.Pattern]:
+    """The patterns that the text may have a place for."""
+    return [pattern for pattern, cues in zip(CUED, _CUES) if any(c in text for c in cues)]
+
+
 # Capitalised words that are no part of a name.
 NOT_NAMES = frozenset("The This That These Those A An And But Or If In On At To For From With By Of It He She They We You I My Your Our His Her Their Is Are Was Were Be When Where What Who Why How All Some Many New Dear Mr Mrs Ms Miss Dr Prof Sir Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split())
 
@@ -130,8 +142,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, str, str]], set[tuple[str, str
     if digit:
         _numbers(text, add)
     capitals = _CAPITAL.findall(text)
-    if not _PEOPLE.isdisjoint(capitals) or capitals and _CUE.search(text):
-        _people(text, add, said)
+    listed = not _PEOPLE.isdisjoint(capitals)
+    if listed or len(capitals) > 1 and (patterns := cued(text)):
+        _people(text, add, said, listed, cued(text) if listed else patterns)
     return sorted(taken), said
 
 
@@ -157,7 +170,7 @@ def _numbers(text: str, add) -> None:
             add(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
 
 
-def _people(text: str, add, said: set) -> None:
+def _people(text: str, add, said: set, listed: bool, patterns: list[re.Pattern]) -> None:
     """Full names first; then every other place of their parts in the text."""
     parts: dict[str, str] = {}
 
@@ -171,16 +184,16 @@ def _people(text: str, add, said: set) -> None:
                 said.add((kind, value, gender))
             at += len(word) + 1
 
-    for m in TITLED.finditer(text):
+    for m in TITLED.finditer(text) if listed else ():
         words = m[2].split(" ")
         while len(words) > 1 and words[-1].title() in NOT_NAMES:
             words.pop()
         if words[0].title() not in NOT_NAMES:
             name(words, m.start(2), _TITLE_GENDER.get(m[1].lower(), "n"))
-    for m in NAMED.finditer(text):
+    for m in NAMED.finditer(text) if listed else ():
         if m[2].title() not in NOT_NAMES:
             name([m[1], m[2]], m.start())
-    for pattern in CUED:
+    for pattern in patterns:
         for m in pattern.finditer(text):
             words = m[1].split(" ")
             if not any(w.title() in NOT_NAMES for w in words):
