@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -45,13 +46,23 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
             for out in step(None) or ():
                 yield record(out, arrow)
         finally:
-            step = columns = None
+            step = columns = batch = out = None
             gc.enable()
-            gc.collect()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: worker processes live on, idle ones should be small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, np.ndarray]], Iterator[dict]]]) -> DataFrame:
     """The same with numpy arrays, for columns of numbers without nulls."""
     from pyspark.sql.types import _parse_datatype_string

@@ -40,7 +40,7 @@ from weftline.session import materialize
 HALF = "cast(pmod(xxhash64(coalesce(doc_id, 0L)), 2) as int)"
 CONTEXT_BITS, WORD_BITS = 27, 21
 #: A block ends with this number of words or documents; a shard holds the bigrams of about so many characters of text.
-BLOCK_WORDS, BLOCK_DOCS, SHARD_CHARS, MOST_SHARDS = 3_000_000, 60_000, 8_000_000, 1 << 16
+BLOCK_WORDS, BLOCK_DOCS, SHARD_CHARS, MOST_SHARDS = 1_500_000, 60_000, 8_000_000, 1 << 16
 #: Sums that a worker keeps until it sends them (4 bytes each).
 KEPT_SUMS = 8_000_000
 #: Characters of the texts whose sums one task adds up, about, and the fewest tasks.
