@@ -259,3 +259,48 @@ def test_save_and_read(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "c")).head()["t"] == 'a "quoted", text'
     sinks.save(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).collect() == df.collect()
+
+
+def test_tree_cuts_and_vectors(spark, cells):
+    from pyspark.sql import Row
+
+    pairs = matrix.pearson(cells)
+    cuts = matrix.hierarchical_cuts(pairs, [0.0, 1.0]).collect()
+    by = {t: {r["item"]: r["cluster"] for r in cuts if r["threshold"] == t} for t in (0.0, 1.0)}
+    assert len(by[0.0]) == len(by[1.0]) == 7 and len(set(by[1.0].values())) == 1
+    assert by[0.0][3] == by[0.0][4] and by[0.0][2] == by[0.0][5] and len(set(by[0.0].values())) < 7  # equal columns are one at any threshold
+    wide = matrix.cluster_distances(pairs).collect()
+    assert {r["col"] for r in wide} == set(range(7)) and all(0 <= r["value"] <= 2 for r in wide)
+    a, b = spark.createDataFrame([Row(item="x", value=3.0), Row(item="y", value=1.0)]), spark.createDataFrame([Row(item="y", value=4.0), Row(item="z", value=2.0)])
+    assert {r["item"]: r["value"] for r in matrix.minus(a, b).collect()} == {"x": 3.0, "y": -3.0, "z": -2.0}
+
+
+def test_workflow(spark, small):
+    from weftline import workflow
+
+    page = "<html><body>Percy Jackson went to Camp Halfblood.</body></html>"
+    docs = workflow.create_documents(spark, [(1, page)], mime="text/html", language="en", template="t")
+    assert docs.head()["text"].startswith(" ") and len(docs.head()["text"]) == len(page) and docs.head()["template"] == "t"
+    line = workflow.Pipeline(small).configure(regular_expressions=None, phrase_classes=lambda run: run["instances"] if "instances" in run.done else run.docs)
+    run = line.run(docs, evaluate={"literals": lambda run: evaluation.precision_recall(run["literals"].select("doc_id", "surface"), run["literals"].select("doc_id", "surface"), ["surface"], ["doc_id"])})
+    assert "regular expressions" not in run.done and list(run.done)[0] == "language" and run["language"].head()["language"] == "en"
+    assert {r["surface"] for r in run["literals"].collect()} == {"Percy Jackson", "Camp Halfblood"}
+    facts = run["known facts"].collect()
+    assert len(facts) == 3 and run["disambiguation"].count() == 2 and run["relevance"].count() > 0
+    report = {(r["step"], r["measure"]): r["value"] for r in line.report(run).collect()}
+    assert report["literals", "precision"] == report["literals", "recall"] == 1.0 and report["literals", "hits"] == 2.0
+    assert "words" in line.run(docs, last="words").done and "sentences" not in line.run(docs, last="words").done
+    with pytest.raises(ValueError):
+        line.configure(no_such_step=None)
+
+
+def test_leave_one_out_by_similarity(spark):
+    """Three players of one club and city: each one's club is found from the others, a lone fact is not judged."""
+    base = "http://x/"
+    rows = [(f"{base}p{i}", triples.RDF_TYPE, f"{base}Player", "uri") for i in range(4)] + [(f"{base}{x}", triples.RDF_TYPE, f"{base}{t}", "uri") for x, t in (("c1", "Club"), ("c2", "Club"), ("t1", "Town"), ("t2", "Town"))]
+    rows += [(f"{base}p{i}", f"{base}{p}", f"{base}{o}", "uri") for i, club, town in ((0, "c1", "t1"), (1, "c1", "t1"), (2, "c2", "t2"), (3, "c2", "t2")) for p, o in (("plays", club), ("lives", town))]
+    kb = KnowledgeBase(triples.ingest(spark.createDataFrame(rows, "s string, p string, o string, kind string")), lambda uri: uri)
+    facts = kb.relations.where(F.col("predicate") != kb.rdf_type).select(F.lit(1).cast("long").alias("doc_id"), "subject", "predicate", "object")
+    found = linking.leave_one_out_similar(facts, kb, kb.markov_chain(100)).head()
+    assert (found["n"], found["correct"], found["accuracy"]) == (8, 8, 1.0)
+    assert linking.leave_one_out_similar(facts.limit(1), kb, kb.markov_chain(100)).head()["n"] == 0

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import corpus, knowledge, learning
+from weftline.plans import corpus, knowledge, learning, stack
 
-_ALL = knowledge.QUERIES | corpus.QUERIES | learning.QUERIES
+_ALL = knowledge.QUERIES | corpus.QUERIES | learning.QUERIES | stack.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

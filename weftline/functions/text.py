@@ -88,6 +88,14 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut(docs, text, emit, "start int, end int, token string")
 
 
+def token_ranges(toks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc_id, start, end, n: the number of tokens in each range (doc_id, start, end) whose ends are ends of tokens."""
+    asked = ranges.select("doc_id", F.col("start").alias("lower"), F.col("end").alias("upper")).distinct()
+    inside = toks.join(asked, "doc_id").where((F.col("start") >= F.col("lower")) & (F.col("end") <= F.col("upper")))
+    found = inside.groupBy("doc_id", "lower", "upper").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.count("*").alias("n"))
+    return found.where("first = lower and last = upper").select("doc_id", F.col("lower").alias("start"), F.col("upper").alias("end"), "n")
+
+
 #: Ends of sentences: a stop, quotes or brackets after it, white space.
 SENTENCE = r"[^.!?…]*(?:[.!?…]+(?:[^\s.!?…][^.!?…]*)?)*?[.!?…]+[\"'”’)\]]*\s+|[\s\S]+"
 

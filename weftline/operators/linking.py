@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftline.operators.kb import KnowledgeBase
+from weftline.session import materialize
 
 
 def instances(spans: DataFrame, kb: KnowledgeBase) -> DataFrame:
@@ -202,12 +203,23 @@ def winners(candidates: DataFrame, votes: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "component").agg(F.min(F.struct("v", "subject")).alias("w")).select("doc_id", "component", F.col("w.subject").alias("subject"))
 
 
+def resolve_stack(candidates: DataFrame, edges: DataFrame, resolvers: list[str], links: DataFrame | None = None) -> DataFrame:
+    """doc_id, component, subject, a column of votes for each resolver (0 where nothing is ambiguous), their sum as
+    ``fused``, and ``winner``: the candidate with the largest vote of the last resolver, of equals the least id."""
+    rows = candidates.select("doc_id", "component", "subject")
+    for name in resolvers:
+        votes = resolve(scores(candidates, edges, name, links=links)).select("doc_id", "subject", F.col("vote").alias(name))
+        rows = rows.join(votes, ["doc_id", "subject"], "left")
+    rows = rows.select("doc_id", "component", "subject", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in resolvers])
+    place = F.row_number().over(W.partitionBy("doc_id", "component").orderBy(F.desc(resolvers[-1]), "subject"))
+    return rows.withColumn("fused", sum((F.col(f"`{n}`") for n in resolvers), F.lit(0))).withColumn("winner", place == 1)
+
+
 def known_facts(resolved: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """doc_id, subject, predicate, object: all out-edges of the resolved subjects."""
     return resolved.select("doc_id", "subject").distinct().join(kb.relations.distinct(), "subject").select("doc_id", "subject", "predicate", "object")
 
 
-#: Subjects of a document that facts are predicted between; more are told apart by rank below.
 def predict_facts(resolved: DataFrame, kb: KnowledgeBase, top: DataFrame) -> DataFrame:
     """doc_id, subject, predicate, object, weight: the likeliest properties between each ordered pair of a document's subjects.
 
@@ -235,3 +247,37 @@ def leave_one_out(facts: DataFrame, kb: KnowledgeBase, top: DataFrame) -> DataFr
     each = judged.groupBy("doc_id", "subject", "predicate", "object").agg(F.max(hit).alias("hit"), F.max(F.col("guess").isNull()).alias("unknown"))
     counts = each.agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("correct"), F.sum(F.col("unknown").cast("long")).alias("unknown"))
     return counts.select("n", F.coalesce("correct", F.lit(0)).alias("correct"), F.coalesce("unknown", F.lit(0)).alias("unknown"), F.try_divide("correct", "n").alias("accuracy"), F.try_divide("unknown", "n").alias("fallout"))
+
+
+def leave_one_out_similar(facts: DataFrame, kb: KnowledgeBase, chain: DataFrame, least: float = 1e-6) -> DataFrame:
+    """accuracy and the counts behind it, by collaborative filtering: is each triple of a document found without itself?
+
+    A document's matrix has its subjects as rows and (predicate, object) as columns; columns with one entry are left out.
+    Without the triple's own cell, the correlation of its subject with each other subject of a common cluster is summed,
+    where positive, over those that have the column; a triple is found if the sum is positive and the chain (subject,
+    predicate, object, probability between clusters) gives the property at least ``least``.
+    """
+    cells = facts.select("doc_id", "subject", "predicate", "object").distinct()
+    shared = cells.groupBy("doc_id", "predicate", "object").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", "predicate", "object")
+    cells = materialize(cells.join(shared, ["doc_id", "predicate", "object"]))
+    width = shared.groupBy("doc_id").agg(F.count("*").alias("width"))
+    size = cells.groupBy("doc_id", "subject").agg(F.count("*").alias("own"))
+    other = lambda df, *names: df.select("doc_id", F.col("subject").alias("peer"), *names)
+    both = cells.join(other(cells, "predicate", "object"), ["doc_id", "predicate", "object"]).where("subject <> peer")
+    common = both.groupBy("doc_id", "subject", "peer").agg(F.count("*").alias("common"))
+    clusters = kb.classifications.select(F.col("instance").alias("subject"), F.col("type").alias("cluster")).distinct()
+    akin = common.select("doc_id", "subject", "peer").join(clusters, "subject").join(clusters.select(F.col("subject").alias("peer"), "cluster"), ["peer", "cluster"]).select("doc_id", "subject", "peer").distinct()
+    pairs = common.join(akin, ["doc_id", "subject", "peer"]).join(size, ["doc_id", "subject"]).join(other(size, F.col("own").alias("theirs")), ["doc_id", "peer"]).join(width, "doc_id")
+    # without the cell the subject has one entry less, and one less in common
+    a, b, c, n = F.col("own") - 1, F.col("theirs"), F.col("common") - 1, F.col("width")
+    spread = a * (n - a) * b * (n - b)
+    similarity = F.when(spread > 0, (n * c - a * b) / F.sqrt(spread)).otherwise(0.0)
+    scored = both.join(pairs.select("doc_id", "subject", "peer", F.greatest(similarity, F.lit(0.0)).alias("similarity")), ["doc_id", "subject", "peer"], "left")
+    summed = scored.groupBy("doc_id", "subject", "predicate", "object").agg(F.sum(F.coalesce("similarity", F.lit(0.0))).alias("score"))
+    gate = chain.select(F.col("subject").alias("cs"), "predicate", F.col("object").alias("co"), "probability")
+    linked = summed.join(clusters.select("subject", F.col("cluster").alias("cs")), "subject").join(clusters.select(F.col("subject").alias("object"), F.col("cluster").alias("co")), "object").join(gate, ["cs", "predicate", "co"])
+    open_ = linked.groupBy("doc_id", "subject", "predicate", "object").agg(F.max("probability").alias("probability"))
+    judged = summed.join(open_, ["doc_id", "subject", "predicate", "object"], "left")
+    hit = (F.col("score") > 1e-12) & (F.coalesce("probability", F.lit(0.0)) >= least)
+    counts = judged.agg(F.count("*").alias("n"), F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias("correct"))
+    return counts.select("n", "correct", F.coalesce(F.try_divide("correct", "n"), F.lit(0.0)).alias("accuracy"))

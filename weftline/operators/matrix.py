@@ -81,8 +81,10 @@ def predict_by_similarity(m: DataFrame, similarity: DataFrame, name: str = "cosi
     return given.join(guessed, ["row", "col"], "full").select("row", "col", F.coalesce("value", "guess").alias("value"))
 
 
-def conditional(m: DataFrame, least: float = 0.0) -> DataFrame:
-    """a, b, probability = m(b, a) / m(b, b) if both and m(a, a) reach ``least``, else 0, on a matrix of co-occurrences (row, col, value)."""
+def conditional(m: DataFrame, least: float = 0.0, lower: bool = False) -> DataFrame:
+    """a, b, probability = m(b, a) / m(b, b) if both and m(a, a) reach ``least``, else 0, on a matrix of co-occurrences
+    (row, col, value); only of a >= b if ``lower``."""
+    m = m.where("row >= col") if lower else m
     own = m.where("row = col").select("row", F.col("value").alias("own"))
     joined = m.join(own.select(F.col("row").alias("col"), F.col("own").alias("cb")), "col").join(own.withColumnRenamed("own", "ca"), "row")
     fine = (F.col("value") >= least) & (F.col("ca") >= least) & (F.col("cb") >= least)
@@ -103,10 +105,33 @@ def significance(m: DataFrame, n: float) -> DataFrame:
     return joined.select(F.col("row").alias("a"), F.col("col").alias("b"), (-(first + F.log(tail))).alias("significance"))
 
 
-def hierarchical(m: DataFrame, threshold: float, keep_single: bool = False) -> DataFrame:
+def minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """item, value: the difference of two vectors (item, value); missing entries are 0."""
+    both = a.select("item", F.col("value").alias("x")).join(b.select("item", F.col("value").alias("y")), "item", "full")
+    return both.select("item", (F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))).alias("value"))
+
+
+def hierarchical_cuts(m: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, item, cluster for several thresholds; items alone in a cluster stay."""
+    parts = [hierarchical(m, t, keep_single=True).select(F.lit(t).alias("threshold"), "item", "cluster") for t in thresholds]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionAll(more)
+    return rows
+
+
+def cluster_distances(m: DataFrame, factor: float = 1.5) -> DataFrame:
+    """cluster, col, value: the tree of ``hierarchical`` cut where a merge is further than ``factor`` times the mean merge,
+    and for each cluster and column the mean distance 1 - correlation of its items to that column."""
+    found = hierarchical(m, factor, keep_single=True, of_mean=True)
+    joined = m.join(found, F.col("c1") == F.col("item"))
+    return joined.groupBy("cluster", F.col("c2").alias("col")).agg(F.avg(1 - F.coalesce("correlation", F.lit(0.0))).alias("value"))
+
+
+def hierarchical(m: DataFrame, threshold: float, keep_single: bool = False, of_mean: bool = False) -> DataFrame:
     """item, cluster: average linkage over distances between the columns of a correlation matrix (c1, c2, correlation).
 
-    The tree is cut where a merge is further than ``threshold`` times the largest one. Items alone in a cluster are left
+    The tree is cut where a merge is further than ``threshold`` times the largest one (or the mean one). Items alone in a cluster are left
     out unless kept. One small matrix of the schema's size, so it runs in one task.
     """
 
@@ -116,7 +141,9 @@ def hierarchical(m: DataFrame, threshold: float, keep_single: bool = False) -> D
         items = np.unique(pdf["c1"].to_numpy())
         table = pdf.pivot(index="c1", columns="c2", values="correlation").reindex(index=items, columns=items).fillna(0.0).to_numpy()
         groups = {i: [i] for i in range(len(items))}
-        gaps = np.sqrt(((table[:, None, :] - table[None, :, :]) ** 2).sum(axis=2))
+        squares = (table * table).sum(axis=1)
+        gaps = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * table @ table.T, 0.0))
+        gaps[gaps < 1e-7] = 0.0  # equal columns, but for rounding
         merges = []
         while len(groups) > 1:
             names = sorted(groups)
@@ -129,7 +156,7 @@ def hierarchical(m: DataFrame, threshold: float, keep_single: bool = False) -> D
             gap, a, b = best
             merges.append((gap, groups[a] + groups[b]))
             groups[max(names) + 1] = groups.pop(a) + groups.pop(b)
-        limit = threshold * max((g for g, _ in merges), default=0.0)
+        limit = threshold * (np.mean([g for g, _ in merges]) if of_mean and merges else max((g for g, _ in merges), default=0.0))
         label = {i: (i,) for i in range(len(items))}
         for gap, members in merges:
             if gap <= limit:

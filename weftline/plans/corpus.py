@@ -67,7 +67,8 @@ def token_range(spark, folder):
 
 def sentence_texts(spark, folder):
     t = text.sentence_flags(ctx(spark, folder).tokens)
-    return t.groupBy("doc_id", "sent").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "token"))), lambda x: x["token"]), " ")
+    return t.groupBy("doc_id", "sent").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), words.alias("words"))
 
 
 def collapse(spark, folder):
@@ -264,7 +265,7 @@ QUERIES = {
     "tokens": (lambda s, f: ctx(s, f).tokens, f'{TEXT_SQL} SELECT doc_id, start, "end", token FROM tokens'),
     "segments": (segments, f"{TEXT_SQL} SELECT doc_id, coalesce(n, 0)::INTEGER AS n, coalesce(words, '') AS words FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(token, ' ' ORDER BY start) AS words FROM tokens GROUP BY 1) USING (doc_id)"),
     "sentences": (lambda s, f: text.sentence_flags(ctx(s, f).tokens).select("doc_id", "start", "sent"), f"{SENT_SQL} SELECT doc_id, start, sent FROM sents"),
-    "sentence_texts": (sentence_texts, f'{SENT_SQL} SELECT doc_id, sent, min(start) AS start, max("end") AS "end", count(*) AS n FROM sents GROUP BY 1, 2'),
+    "sentence_texts": (sentence_texts, f"""{SENT_SQL} SELECT doc_id, sent, min(start) AS start, max("end") AS "end", count(*) AS n, string_agg(token, ' ' ORDER BY start) AS words FROM sents GROUP BY 1, 2"""),
     "token_range": (token_range, f'{SENT_SQL} SELECT doc_id, min(start) AS start, max("end") AS "end", count(*) AS n FROM sents WHERE sent < 2 GROUP BY 1 HAVING min(start) = 0'),
     "lang_id": (lambda s, f: text.detect_language(ctx(s, f).docs), f"{TEXT_SQL} SELECT doc_id, {_LANG_SQL} AS language FROM (SELECT *, greatest({', '.join(text.STOP_WORDS)}) AS best FROM (SELECT doc_id, {_STOP_SQL} FROM (SELECT doc_id, list_transform(p, lambda x: lower(x)) AS w FROM pieces)))"),
     "html_text": (html_text, f"SELECT page_id, plain, length(plain) = length(html) AS same_length FROM (SELECT page_id, html, {_PLAIN} AS plain FROM pages)"),
