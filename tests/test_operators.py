@@ -304,3 +304,32 @@ def test_leave_one_out_by_similarity(spark):
     found = linking.leave_one_out_similar(facts, kb, kb.markov_chain(100)).head()
     assert (found["n"], found["correct"], found["accuracy"]) == (8, 8, 1.0)
     assert linking.leave_one_out_similar(facts.limit(1), kb, kb.markov_chain(100)).head()["n"] == 0
+
+
+def test_rdf_in_xml(spark):
+    rdf = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/" xml:base="http://b/doc">
+    <e:Person rdf:about="http://e/a" e:name="Ann"><e:knows><e:Person rdf:ID="bob"><e:age>7</e:age></e:Person></e:knows><e:home rdf:resource="town"/>
+    <e:address rdf:parseType="Resource"><e:city>X &amp; Y</e:city></e:address></e:Person>
+    <rdf:Description rdf:nodeID="n"><rdf:type rdf:resource="http://e/T"/><e:list rdf:parseType="Collection"><rdf:Description rdf:about="http://e/1"/></e:list></rdf:Description></rdf:RDF>"""
+    trix = '<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/"><graph><uri>http://g</uri><triple><uri>http://a</uri><uri>http://p</uri><plainLiteral>hi</plainLiteral></triple><triple><id>x</id><uri>http://p</uri><uri>http://b</uri></triple></graph></TriX>'
+    trig = '@prefix : <http://t/> . :g { :a :p :b . :a :q "x" } GRAPH :h { :c a :D . } :out :p :b .'
+    parse = lambda text, syntax: sorted(map(tuple, triples.parse_documents(spark.createDataFrame([(text,), (None,), ("<broken",)], "text string"), syntax).collect()))
+    t = triples.RDF_TYPE
+    found = parse(rdf, "rdfxml")
+    assert {("http://e/a", t, "http://e/Person", "uri"), ("http://e/a", "http://e/name", "Ann", "literal"), ("http://e/a", "http://e/knows", "http://b/doc#bob", "uri"), ("http://b/doc#bob", "http://e/age", "7", "literal"), ("http://e/a", "http://e/home", "http://b/town", "uri"), ("_:n", t, "http://e/T", "uri")} <= set(found)
+    (blank,) = [o for s, p, o, k in found if p == "http://e/address" and k == "bnode"]
+    assert (blank, "http://e/city", "X & Y", "literal") in found
+    (cell,) = [o for s, p, o, k in found if p == "http://e/list"]
+    assert (cell, t.replace("type", "first"), "http://e/1", "uri") in found and (cell, t.replace("type", "rest"), t.replace("type", "nil"), "uri") in found
+    assert parse(trix, "trix") == [("_:x", "http://p", "http://b", "uri"), ("http://a", "http://p", "hi", "literal")]
+    assert parse(trig, "trig") == [("http://t/a", "http://t/p", "http://t/b", "uri"), ("http://t/a", "http://t/q", "x", "literal"), ("http://t/c", t, "http://t/D", "uri"), ("http://t/out", "http://t/p", "http://t/b", "uri")]
+
+
+def test_csv_and_truth_files(spark, tmp_path):
+    rows = spark.createDataFrame([("http://a", "http://p", 'say "x", y', "literal")], "s string, p string, o string, kind string")
+    sinks.save(rows, str(tmp_path / "t"), "csv")
+    assert triples.read_csv(spark, str(tmp_path / "t")).collect() == rows.collect()
+    docs = spark.createDataFrame([(1, "z.zip/txt%2Fone.txt"), (2, "z.zip/txt%2Ftwo.txt")], "doc_id long, uri string")
+    truths = spark.createDataFrame([("z.zip/rdf%2Fone.rdf", "truth one")], "uri string, text string")
+    assert {r["doc_id"]: r["truth"] for r in corpus.truth_of(docs, truths, [("txt", "rdf")]).collect()} == {1: "truth one", 2: None}
+    assert {r["n"] for r in corpus.map_documents(docs, lambda d: (d["doc_id"], len(d["uri"])), "doc_id long, n int").collect()} == {19}

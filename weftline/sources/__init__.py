@@ -1,3 +1 @@
 """Readers of triples and corpora."""
-
-RDF_TYPE_URI = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"

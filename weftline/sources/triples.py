@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.session import table
@@ -36,18 +37,40 @@ def parse_ntriples(lines: DataFrame) -> DataFrame:
     return found.select(F.when(part[0] != "", part[0]).otherwise(part[1]).alias("s"), part[2].alias("p"), F.when(part[3] != "", part[3]).when(part[4] != "", part[4]).otherwise(text).alias("o"), kind.alias("kind"))
 
 
-def parse_turtle(docs: DataFrame) -> DataFrame:
-    """Triples of Turtle documents (column ``text``): prefixes, base, a, ; and , lists, literals; no nesting or collections.
+def parse_documents(docs: DataFrame, syntax: str, base: str = "") -> DataFrame:
+    """Triples of whole documents (column ``text``) in Turtle, TriG, RDF/XML or TriX, in Arrow batches.
 
     A document is one row, so this is for many files of moderate size; N-Triples is the format for bulk.
     """
-    from weftline.sources.turtle import read_turtle
+    from weftline.session import ship_package
+    from weftline.sources import rdfxml, turtle
+
+    ship_package(docs.sparkSession)
+    read = {"turtle": turtle.read_turtle, "trig": turtle.read_turtle, "rdfxml": rdfxml.read_rdfxml, "trix": rdfxml.read_trix}[syntax]
+
+    def run(batches):
+        for batch in batches:
+            rows = [t for text in batch.column(0).to_pylist() for t in read(text or "", base)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in zip(*rows)], names=["s", "p", "o", "kind"])
+
+    return docs.select("text").mapInArrow(run, "s string, p string, o string, kind string")
+
+
+def parse_turtle(docs: DataFrame) -> DataFrame:
+    """Triples of Turtle documents: prefixes, base, a, ; and , lists, literals; no nesting or collections."""
+    return parse_documents(docs, "turtle")
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """Triples of a database table with columns s, p, o, kind. Give partitionColumn, lowerBound, upperBound and
+    numPartitions to read a large table in parallel."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load().select("s", "p", "o", "kind")
 
-    @F.udf("array<struct<s string, p string, o string, kind string>>")
-    def triples(text):
-        return list(read_turtle(text or ""))
 
-    return docs.select(F.explode(triples("text")).alias("t")).select("t.*")
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of CSV files with a header and quoted values, as ``sinks.save`` writes them."""
+    return spark.read.option("header", True).option("quote", '"').option("escape", "\\").csv(path).select("s", "p", "o", "kind")
 
 
 def ingest(triples: DataFrame) -> DataFrame:

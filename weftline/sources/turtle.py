@@ -1,4 +1,4 @@
-"""A reader of the Turtle subset that knowledge bases are exchanged in."""
+"""A reader of the Turtle subset that knowledge bases are exchanged in, and of TriG, whose graphs are read as one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-from weftline.sources import RDF_TYPE_URI
 
+#: Fixed value: the predicate that ``a`` stands for.
+RDF_TYPE_URI = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 _TOKEN = re.compile(
-    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>\"\"\"(?:[^\\]|\\.)*?\"\"\")|(?P<text>"(?:[^"\\\n]|\\.)*")|(?P<at>@[A-Za-z][A-Za-z0-9-]*)|(?P<kind>\^\^)|(?P<punct>[.;,](?=\s|$|[<\#])|[;,.])|(?P<bnode>_:[\w-]+)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[\w-]*:[\w%-]*(?:\.[\w%-]+)*|a\b|true|false|PREFIX\b|BASE\b)""",
+    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>\"\"\"(?:[^\\]|\\.)*?\"\"\")|(?P<text>"(?:[^"\\\n]|\\.)*")|(?P<at>@[A-Za-z][A-Za-z0-9-]*)|(?P<kind>\^\^)|(?P<brace>[{}])|(?P<punct>[.;,](?=\s|$|[<\#}])|[;,.])|(?P<bnode>_:[\w-]+)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[\w-]*:[\w%-]*(?:\.[\w%-]+)*|a\b|true|false|PREFIX\b|BASE\b|GRAPH\b)""",
     re.VERBOSE | re.DOTALL,
 )
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}
@@ -63,6 +64,9 @@ def read_turtle(text: str, base: str = "") -> Iterator[tuple[str, str, str, str]
         elif value in ("@base", "BASE") and at + 1 < len(queue):
             base = queue[at + 1][1][1:-1]
             at += 2 + (at + 2 < len(queue) and queue[at + 2][1] == ".")
+        elif kind == "brace" or value == "GRAPH":
+            subject = predicate = None  # what stood before is the graph's name
+            at += 1
         elif kind == "punct":
             if value == ".":
                 subject = predicate = None
