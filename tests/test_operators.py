@@ -333,3 +333,16 @@ def test_csv_and_truth_files(spark, tmp_path):
     truths = spark.createDataFrame([("z.zip/rdf%2Fone.rdf", "truth one")], "uri string, text string")
     assert {r["doc_id"]: r["truth"] for r in corpus.truth_of(docs, truths, [("txt", "rdf")]).collect()} == {1: "truth one", 2: None}
     assert {r["n"] for r in corpus.map_documents(docs, lambda d: (d["doc_id"], len(d["uri"])), "doc_id long, n int").collect()} == {19}
+
+
+def test_expansion_in_stages(spark):
+    """A sure component that reaches all others ends the expansion; a lonely one has all expanded, and itself backward."""
+    base = "http://x/"
+    edges = [("a", "b1"), ("b1", "z"), ("b2", "y"), ("w", "c1")]
+    kb = KnowledgeBase(triples.ingest(spark.createDataFrame([(base + s, f"{base}p", base + o, "uri") for s, o in edges], "s string, p string, o string, kind string")))
+    ids = {r["uri"].removeprefix(base): r["index"] for r in kb.resources.collect()}
+    rows = [(1, ids["a"], 1), (1, ids["b1"], 2), (1, ids["b2"], 2)]
+    rows += [(2, ids["a"], 1), (2, ids["b1"], 2), (2, ids["b2"], 2), (2, ids["c1"], 3)]
+    found = linking.staged_expansion(spark.createDataFrame(rows, "doc_id long, subject int, component int"), kb)
+    names = {i: n for n, i in ids.items()}
+    assert {(r["doc_id"], names[r["src"]], names[r["dst"]]) for r in found.collect()} == {(1, "a", "b1"), (2, "a", "b1"), (2, "b1", "z"), (2, "b2", "y"), (2, "w", "c1")}

@@ -98,7 +98,8 @@ class KnowledgeBase:
 
     @cached_property
     def rdf_type(self) -> Column:
-        return F.lit(self.uri_index(RDF_TYPE))
+        found = self.uri_index(RDF_TYPE)
+        return F.lit(-1 if found is None else found)  # ids start at 1: without types no predicate is the type
 
     # lookups
 

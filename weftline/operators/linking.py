@@ -85,11 +85,22 @@ def connected(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def staged_expansion(candidates: DataFrame, kb: KnowledgeBase) -> DataFrame:
-    """Forward edges of all candidates, and backward edges of those whose component has none: all stages in one pass."""
-    forward = expansion(candidates, kb)
-    alone = connected(candidates, forward).where("not connected")
-    lonely = candidates.join(alone.select("doc_id", "component"), ["doc_id", "component"], "left_semi")
-    return forward.unionByName(expansion(lonely, kb, backward=True)).distinct()
+    """doc_id, src, dst, predicate: the components of a document expanded from the least ambiguous on, until none is
+    disconnected; those that stay disconnected after all are expanded backward.
+
+    A stage expands the components with one number of candidates. A component is connected from the first stage with an
+    edge at one of its candidates, so the stage to stop at is the last of those: no loop over stages is needed.
+    """
+    sized = candidates.groupBy("doc_id", "component").agg(F.count("*").alias("size")).join(candidates, ["doc_id", "component"]).select("doc_id", "component", "subject", "size")
+    forward = expansion(candidates, kb).join(sized.select("doc_id", F.col("subject").alias("src"), "size"), ["doc_id", "src"])
+    forward = materialize(forward.select("doc_id", "src", "dst", "predicate", "size"))
+    ends = forward.select("doc_id", F.col("src").alias("subject"), F.col("size").alias("stage")).unionAll(forward.select("doc_id", "dst", "size"))
+    connected_at = sized.join(ends, ["doc_id", "subject"]).groupBy("doc_id", "component").agg(F.min("stage").alias("stage"))
+    each = candidates.select("doc_id", "component").distinct().join(connected_at, ["doc_id", "component"], "left")
+    last = each.groupBy("doc_id").agg(F.max("stage").alias("last"), F.sum(F.col("stage").isNull().cast("int")).alias("lonely"))
+    kept = forward.join(last, "doc_id").where("lonely > 0 or size <= last").select("doc_id", "src", "dst", "predicate")
+    lonely = candidates.join(each.where("stage is null"), ["doc_id", "component"], "left_semi")
+    return kept.union(expansion(lonely, kb, backward=True)).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:

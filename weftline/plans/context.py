@@ -111,9 +111,13 @@ reach(doc_id, literal_index, component) AS (SELECT DISTINCT doc_id, literal_inde
 labels AS (SELECT doc_id, literal_index, min(component) AS component FROM reach GROUP BY 1, 2),
 candidates AS (SELECT doc_id, subject, min(component) AS component FROM bip JOIN labels USING (doc_id, literal_index) GROUP BY 1, 2),
 forward AS (SELECT DISTINCT c.doc_id, c.subject AS src, r.object AS dst, r.predicate FROM candidates c JOIN relations r USING (subject) WHERE r.predicate <> (SELECT index FROM rdf_type)),
-touched AS (SELECT doc_id, src AS subject FROM forward UNION SELECT doc_id, dst FROM forward),
-lonely AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates d JOIN touched t ON t.doc_id = d.doc_id AND t.subject = d.subject WHERE d.doc_id = c.doc_id AND d.component = c.component)),
-edges AS (SELECT * FROM forward UNION SELECT l.doc_id, r.subject, r.object, r.predicate FROM lonely l JOIN relations r ON r.object = l.subject),
+sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, component) AS size FROM candidates),
+staged AS (SELECT f.*, s.size FROM forward f JOIN sized s ON s.doc_id = f.doc_id AND s.subject = f.src),
+stage_ends AS (SELECT doc_id, src AS subject, size AS stage FROM staged UNION SELECT doc_id, dst, size FROM staged),
+conn AS (SELECT c.doc_id, c.component, min(stage) AS stage FROM candidates c LEFT JOIN stage_ends e ON e.doc_id = c.doc_id AND e.subject = c.subject GROUP BY 1, 2),
+stops AS (SELECT doc_id, max(stage) AS last, count(*) FILTER (stage IS NULL) AS open FROM conn GROUP BY 1),
+lonely AS (SELECT c.* FROM candidates c JOIN conn n ON n.doc_id = c.doc_id AND n.component = c.component WHERE n.stage IS NULL),
+edges AS (SELECT doc_id, src, dst, predicate FROM staged JOIN stops USING (doc_id) WHERE open > 0 OR size <= last UNION SELECT l.doc_id, r.subject, r.object, r.predicate FROM lonely l JOIN relations r ON r.object = l.subject),
 simple AS (SELECT doc_id, src, dst, min(predicate) AS predicate FROM edges GROUP BY 1, 2, 3),
 degrees AS (SELECT doc_id, node, sum(i)::BIGINT AS indegree, sum(o)::BIGINT AS outdegree FROM (SELECT doc_id, src AS node, 0 AS i, 1 AS o FROM simple UNION ALL SELECT doc_id, dst, 1, 0 FROM simple) GROUP BY 1, 2),
 scored AS (SELECT c.doc_id, c.component, c.subject, coalesce(indegree + outdegree, 0)::DOUBLE AS degree, coalesce(least(indegree, outdegree), 0)::DOUBLE AS flow FROM candidates c LEFT JOIN degrees d ON d.doc_id = c.doc_id AND d.node = c.subject),
