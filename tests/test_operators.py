@@ -346,3 +346,20 @@ def test_expansion_in_stages(spark):
     found = linking.staged_expansion(spark.createDataFrame(rows, "doc_id long, subject int, component int"), kb)
     names = {i: n for n, i in ids.items()}
     assert {(r["doc_id"], names[r["src"]], names[r["dst"]]) for r in found.collect()} == {(1, "a", "b1"), (2, "a", "b1"), (2, "b1", "z"), (2, "b2", "y"), (2, "w", "c1")}
+
+
+def test_trained_models(spark):
+    """Maximum entropy finds what decides a label, with probabilities; a tagger learns noun phrases from words and tags."""
+    from weftline.operators import features
+
+    rows = [(i, 0, 0, label, [f"i:{word}", "a:the"]) for i, (label, word) in enumerate([("PLACE", "town"), ("PLACE", "city"), ("NAME", "ann"), ("NAME", "bob")] * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, sent int, lower int, label string, features array<string>")
+    model = features.train_maxent(df)
+    asked = spark.createDataFrame([(1, ["i:town", "a:the"]), (2, ["i:bob"]), (3, ["a:the"])], "doc_id long, features array<string>")
+    found = {r["doc_id"]: r for r in features.apply_maxent(model, asked, ["doc_id"], 0.3).collect()}
+    assert (found[1]["best"], found[1]["accepted"]) == ("PLACE", True) and (found[2]["best"], found[2]["accepted"]) == ("NAME", True)
+    assert found[3]["p1"] == pytest.approx(0.5, abs=0.02) and not found[3]["accepted"]
+    said = [("the", "DT", "B-NP"), ("old", "JJ", "I-NP"), ("house", "NN", "I-NP"), ("fell", "VB", "O")]
+    words = spark.createDataFrame([(d, 0, i, *w) for d in range(60) for i, w in enumerate(said[d % 2 :])], "doc_id long, sent int, i int, word string, pos string, np string")
+    scores = {r["label"]: r["f1"] for r in features.evaluate_chunker(words.replace({"the": "a"}, subset="word")).collect()}
+    assert scores["O"] == 1.0 and scores["I-NP"] > 0.8

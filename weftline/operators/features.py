@@ -60,7 +60,7 @@ def stop_features(rows: DataFrame, top: int, least: int) -> DataFrame:
 
 
 def train_weights(rows: DataFrame) -> DataFrame:
-    """label, feature, weight: add-one log P(feature | label), a log-linear model; with the prior as feature ``*``."""
+    """label, feature, weight: add-one log P(feature | label), naive Bayes, the quick model; with the prior as feature ``*``."""
     counts = rows.select("label", F.explode("features").alias("feature")).groupBy("label", "feature").agg(F.count("*").alias("n"))
     size = counts.agg(F.count_distinct("feature").alias("v"))
     totals = counts.groupBy("label").agg(F.sum("n").alias("t")).crossJoin(F.broadcast(size))  # one row
@@ -104,3 +104,53 @@ def fold_scores(rows: DataFrame, folds: int = 10, margin: float = 0.0) -> DataFr
     scores = precision_recall(found, rows, ["doc_id", "sent", "lower"], ["label"])
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return scores.select("label", "precision", "recall", f1.alias("f1"))
+
+
+def train_maxent(rows: DataFrame, strength: float = 0.01, rounds: int = 50):
+    """A maximum-entropy model (multinomial logistic regression over counts of features) of rows with label and features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, StringIndexer
+
+    return Pipeline(stages=[
+        StringIndexer(inputCol="label", outputCol="label_number", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        CountVectorizer(inputCol="features", outputCol="counts"),
+        LogisticRegression(featuresCol="counts", labelCol="label_number", family="multinomial", regParam=strength, maxIter=rounds),
+    ]).fit(rows)
+
+
+def apply_maxent(model, rows: DataFrame, keys: list[str], margin: float = 0.6) -> DataFrame:
+    """keys, best, p1, p2, accepted: the likeliest label of each row, if it leads the next by more than ``margin``."""
+    from pyspark.ml.functions import vector_to_array
+
+    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    plain = rows.withColumn("label", F.lit(model.stages[0].labels[0]))  # the indexer asks for a label, the model does not
+    scored = model.transform(plain).withColumn("p", F.slice(vector_to_array("probability"), 1, F.size(names)))
+    ranked = F.reverse(F.array_sort(F.transform(F.arrays_zip("p", names.alias("label")), lambda x: F.struct(x["p"].alias("p"), x["label"].alias("label")))))
+    best = scored.select(*keys, ranked.alias("r"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    return best.select(*keys, first["label"].alias("best"), first["p"].alias("p1"), F.coalesce(second["p"], F.lit(0.0)).alias("p2")).withColumn("accepted", F.col("p1") - F.col("p2") > margin)
+
+
+def window_features(words: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, sent, i, label (np), features: the words (W=) and tags (T=) at each distance up to ``width``."""
+    w = W.partitionBy("doc_id", "sent").orderBy("i")
+    said = []
+    for k in range(-width, width + 1):
+        for name, column in (("W", "word"), ("T", "pos")):
+            said.append(F.concat(F.lit(f"{name}{k}="), F.lag(F.lower(column), -k).over(w)))
+    return words.select("doc_id", "sent", "i", F.col("np").alias("label"), F.filter(F.array(*said), lambda x: x.isNotNull()).alias("features"))
+
+
+def evaluate_chunker(words: DataFrame, share: float = 0.8) -> DataFrame:
+    """label, precision, recall, f1 of noun-phrase tags by a maximum-entropy tagger trained on ``share`` of the documents and
+    tested on the others."""
+    from weftline.operators.evaluation import precision_recall
+
+    rows = window_features(words).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(100)))
+    model = train_maxent(rows.where(F.col("part") < int(100 * share)))
+    test = rows.where(F.col("part") >= int(100 * share))
+    found = apply_maxent(model, test, ["doc_id", "sent", "i"], margin=0.0).select("doc_id", "sent", "i", F.col("best").alias("label"))
+    scores = precision_recall(found, test, ["doc_id", "sent", "i"], ["label"])
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return scores.select("label", "precision", "recall", f1.alias("f1"))
