@@ -98,7 +98,7 @@ SPOT_SQL = f"""{KB_SQL},
 lits AS (SELECT DISTINCT s.object AS literal_index, s.predicate AS property, s.belief, l.literal, lower(l.literal) AS low, len(regexp_extract_all(l.literal, '{_PIECE}')) AS n FROM symbols s JOIN lit_dict l ON l.index = s.object),
 suf AS (SELECT t.doc_id, t.start, array_to_string(p[t.i:t.i + (SELECT max(n) FROM lits) - 1], '') AS surface FROM tokens t JOIN pieces USING (doc_id) WHERE regexp_matches(t.token, '^[\\p{{L}}\\p{{N}}]')),
 hits AS (SELECT doc_id, start AS a, (start + length(literal))::INTEGER AS b, literal_index, property, belief, literal, substr(surface, 1, length(literal)) AS surface, substr(surface, length(literal) + 1, 2) AS rest
- FROM suf, (VALUES (1), (2), (3), (4)) v(k) JOIN lits ON least(length(low), 4) = v.k AND substr(lower(surface), 1, v.k) = substr(low, 1, v.k) AND starts_with(lower(substr(surface, 1, 100)), low)),
+ FROM (SELECT *, substr(lower(surface), 1, k) AS head FROM suf, (SELECT DISTINCT least(length(low), 8) AS k FROM lits) WHERE length(surface) >= k) JOIN (SELECT *, substr(low, 1, 8) AS head FROM lits) USING (head) WHERE starts_with(lower(substr(surface, 1, 100)), low)),
 spans AS (SELECT doc_id, a, b, literal_index, property, belief, literal, surface FROM hits WHERE NOT (regexp_matches(rest, '^[\\p{{L}}\\p{{N}}_]|^[''’.][\\p{{L}}\\p{{N}}_]') AND regexp_matches(literal, '[\\p{{L}}\\p{{N}}_]$'))),
 distinct_spans AS (SELECT DISTINCT doc_id, a, b FROM spans),
 longest AS (SELECT s.* FROM spans s WHERE NOT EXISTS (SELECT 1 FROM distinct_spans o WHERE o.doc_id = s.doc_id AND o.a <= s.a AND o.b >= s.b AND o.b - o.a > s.b - s.a)),
