@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators import spotting
 from weftline.plans import corpus, knowledge, learning
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,15 @@ def test_suffixes_of_100_characters(spark, folder):
     row = corpus.suffix_array(spark, folder(spark, [t])).head()
     want = [t[m.start() : m.start() + 100] for m in re.finditer("[a-z]+", t)]
     assert (row["n"], row["distinct"], row["least"]) == (len(want), len(set(want)), min(want))
+
+
+def test_only_suffixes_that_may_match_are_dealt(spark):
+    literals = ["New York City", "USA", "x", "Σίσυφος", "İzmir", "Customer#000000001"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(literals)], "index int, literal string")
+    symbols = spark.createDataFrame([(9, 1, i, 1.0) for i in range(len(literals))], "subject int, predicate int, object int, belief double")
+    text = "plain words " * 200 + "new york city, usa x Σίσυφος İzmir Customer#000000001 New York only"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = spotting.spot(docs, rows, symbols)
+    assert sorted(r["literal"] for r in found.collect()) == sorted(literals)
+    wanted = spotting.literal_rows(rows, symbols).withColumn("head", F.substring("low", 1, 3))
+    assert spotting.suffixes(docs, 9, spotting.beginnings(wanted, [1, 3])).count() < 20 < spotting.suffixes(docs, 9).count()
