@@ -7,8 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.operators import spotting
 from weftline.plans import corpus, knowledge, learning
+from weftline.sources import corpus as corpora
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,9 +72,33 @@ def test_only_suffixes_that_may_match_are_dealt(spark):
     literals = ["New York City", "USA", "x", "Σίσυφος", "İzmir", "Customer#000000001"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(literals)], "index int, literal string")
     symbols = spark.createDataFrame([(9, 1, i, 1.0) for i in range(len(literals))], "subject int, predicate int, object int, belief double")
-    text = "plain words " * 200 + "new york city, usa x Σίσυφος İzmir Customer#000000001 New York only"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    long = "plain words " * 200 + "new york city, usa x Σίσυφος İzmir Customer#000000001 New York only"
+    docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
     found = spotting.spot(docs, rows, symbols)
     assert sorted(r["literal"] for r in found.collect()) == sorted(literals)
     wanted = spotting.literal_rows(rows, symbols).withColumn("head", F.substring("low", 1, 3))
     assert spotting.suffixes(docs, 9, spotting.beginnings(wanted, [1, 3])).count() < 20 < spotting.suffixes(docs, 9).count()
+
+
+#: Plans of these give each text's rows in one pass: nothing is dealt.
+@pytest.mark.parametrize("name", ["sentences", "pos_rules", "np_tags", "phrase_stats", "labelled_corpus", "suffix_array"])
+def test_texts_are_not_dealt(spark, folder, name):
+    from weftline import catalog
+
+    df = catalog.queries()[name](spark, folder(spark, ["The old man sat. He saw the big Berlin and 3 cats.", "", "a b"]))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_annotations_are_those_of_the_windows(spark):
+    texts = ["The the old man. The", "3.5 Häuser!And \"No\" … he sat . the big Der of", "quickly\u00a0running beautiful Berlin . . ? ok", "the.", "x", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = text.chunked(text.tagged(text.sentence_flags(text.tokens(docs))))
+    names = ["doc_id", "start", "end", "token", "sent", "pos", "np"]
+    assert sorted(text.annotated(docs).select(names).collect()) == sorted(want.select(names).collect())
+
+
+def test_documents_of_a_long_conll_file(spark):
+    lines = [(f, n, "-DOCSTART- -X- O O" if n % 7 == 0 else f"w{n} NN O O") for f in ("a", "b") for n in range(500)]
+    df = spark.createDataFrame(lines, "file string, n long, line string").repartition(9)
+    found = corpora.conll_documents(df).collect()
+    assert sorted((r["file"], r["n"], r["doc"]) for r in found) == [(f, n, n // 7 + 1) for f, n, line in lines if n % 7]
