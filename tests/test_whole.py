@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.operators import spotting
+from weftline.operators.kb import KnowledgeBase, numbered, table_of_type
 from weftline.plans import corpus, knowledge, learning
-from weftline.sources import corpus as corpora
+from weftline.sources import corpus as corpora, triples
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +103,19 @@ def test_documents_of_a_long_conll_file(spark):
     df = spark.createDataFrame(lines, "file string, n long, line string").repartition(9)
     found = corpora.conll_documents(df).collect()
     assert sorted((r["file"], r["n"], r["doc"]) for r in found) == [(f, n, n // 7 + 1) for f, n, line in lines if n % 7]
+
+
+def test_types_and_chain_without_all_relations(spark):
+    k = KnowledgeBase(triples.ingest(triples.star_triples(spark, SF)), table_of_type, keep=False)
+    assert k.types.count() and k.type_clusters.count() and k.markov_chain(5).count() and k.coverage_ambiguity.count()
+    assert "relations" not in k.__dict__
+    types, p = k.types.count(), k.uri_index(triples.RDF_TYPE)
+    assert k.relations.where(F.col("predicate") == p).count() == types
+
+
+def test_numbers_are_dealt_once(spark):
+    df = numbered(spark.range(1000).select((F.col("id") * 7 % 1000).cast("string").alias("k")).repartition(5), "k")
+    found = [(r["k"], r["index"]) for r in df.collect()]
+    assert sorted(found) == [(k, i + 1) for i, k in enumerate(sorted(str(i) for i in range(1000)))]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_part" not in plan.replace("broadcast", "").split("BroadcastExchange")[0]
